@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +51,27 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "label")
         if done:
             return label
+
+
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts(..., n) from some count upwards, `most` at most: the count is read off a histogram of under 1,100 steps."""
+    step = F.floor(F.log2("n") * 16)
+    room, least = most, None
+    for r in sorted(counts.where("n > 0").groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["s"]):
+        if r["c"] > room:
+            break
+        room, least = room - r["c"], r["s"]
+    return counts.where(F.lit(False)) if least is None else counts.where((F.col("n") > 0) & (step >= least))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for a session's context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_buildloom_shipped", False):
+        here = Path(__file__).resolve().parents[1]
+        where = Path(tempfile.mkdtemp(prefix="buildloom-")) / "buildloom_package.zip"
+        with zipfile.ZipFile(where, "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        sc.addPyFile(str(where))
+        sc._buildloom_shipped = True

@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .near_dup import near_duplicates
+from . import bpe, near_dup, quality, suffix_tree, toxicity
+from .common import ship
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies; $BUILDLOOM_TOKENIZERS names another folder."""
+    if folder := os.environ.get("BUILDLOOM_TOKENIZERS"):
+        return os.path.join(folder, name)
+    if importlib.util.find_spec("public_tokenizers"):
+        import public_tokenizers
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        return public_tokenizers.path(name)
+    return os.path.join("/opt/tokenizers", name)
 
 
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_docs(spark, sf_dir), k=4, percent=80)
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    return bpe.digests(bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path), path))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = [op2_minhash_near_dup, op3_bpe, op5_toxicity, op6_quality, op9_lm_scores]
 
 
 def queries() -> dict:
-    return {"op2_minhash_near_dup": op2_minhash_near_dup}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:

@@ -69,10 +69,11 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hash_words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED, heads: tuple[int, ...] = ()) -> tuple:
     """Hashes of the words of all texts, where each begins and ends, and the texts' offsets in them.
 
-    A-Z count as a-z; a word never crosses from one text into the next."""
+    A-Z count as a-z; a word never crosses from one text into the next.  With heads, a fifth
+    item has for each length k in heads the hash of each word's first k bytes, 0 for words of k bytes or fewer."""
     n = len(buf)
     inside = kind[buf]
     cuts = offsets[(offsets > 0) & (offsets < n)]
@@ -84,6 +85,7 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED)
     last[cuts - 1] |= inside[cuts - 1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     out = np.empty(len(begin), _U)
+    first_of = [np.zeros(len(begin), _U) for _ in heads]
     at = 0
     while at < len(begin):
         upto = max(int(np.searchsorted(end, begin[at] + _SLICE, side="right")), at + 1)
@@ -93,8 +95,12 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED)
         np.cumsum(_CODE[LOWER[buf[lo:hi]]] * _pow[: hi - lo], out=total[1:])
         b = begin[at:upto] - lo
         out[at:upto] = mix((total[end[at:upto] - lo] - total[b]) * _inv[b])
+        for k, head in zip(heads, first_of):
+            long = np.flatnonzero(end[at:upto] - lo - b > k)
+            head[at + long] = mix((total[b[long] + k] - total[b[long]]) * _inv[b[long]] + _U(k))
         at = upto
-    return out, begin, end, np.searchsorted(begin, offsets)
+    found = out, begin, end, np.searchsorted(begin, offsets)
+    return (*found, first_of) if heads else found
 
 
 def shingles(words: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
