@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, quality, suffix_tree, toxicity
+from . import bpe, fingerprints, licenses, near_dup, quality, suffix_tree, token_counts, toxicity
 from .common import ship
 
 
@@ -36,6 +36,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path), path))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -44,11 +48,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.lm_scores(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_minhash_near_dup, op3_bpe, op5_toxicity, op6_quality, op9_lm_scores]
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_and_next(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = [op2_minhash_near_dup, op3_bpe, op4_token_counts, op5_toxicity, op6_quality, op8_license_scan, op9_lm_scores, op10_spotsigs]
 
 
 def queries() -> dict:
@@ -56,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_license_scan": licenses.oracle_sql()}
