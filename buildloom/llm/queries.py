@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, near_dup, quality, suffix_tree, token_counts, toxicity
+from . import bpe, decontam, fingerprints, licenses, near_dup, pii, quality, suffix_tree, token_counts, toxicity
 from .common import ship
 
 
@@ -27,6 +27,10 @@ def tokenizer(name: str) -> str:
     return os.path.join("/opt/tokenizers", name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -48,6 +52,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_pii(_read(spark, sf_dir, "documents")))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_next(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_minhash_near_dup, op3_bpe, op4_token_counts, op5_toxicity, op6_quality, op8_license_scan, op9_lm_scores, op10_spotsigs]
+QUERIES = [op1_decontamination, op2_minhash_near_dup, op3_bpe, op4_token_counts, op5_toxicity, op6_quality, op7_pii, op8_license_scan, op9_lm_scores, op10_spotsigs]
 
 
 def queries() -> dict:
