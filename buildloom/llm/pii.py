@@ -102,11 +102,12 @@ def _passes(kind: str, m: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end>>, kind 0 to 3 as in KINDS, sorted."""
-    kinds = []
-    for i, k in enumerate(KINDS):
-        good = F.filter(matches(text, BASE[k], _likely(k, text)), lambda x, k=k: _passes(k, x["match"]))
-        kinds.append(F.transform(good, lambda x, i=i: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
-    return F.array_sort(F.concat(*kinds))
+
+    def of(i: int, k: str) -> Column:
+        good = F.filter(matches(text, BASE[k], _likely(k, text)), lambda x: _passes(k, x["match"]))
+        return F.transform(good, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(KINDS))))
 
 
 def _side(c: Column) -> Column:
@@ -116,10 +117,9 @@ def _side(c: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<start, end, kind, valid, digits, groups, left, right, cue>> of all generators; spans may overlap."""
-    kinds = []
-    for i, k in enumerate(KINDS):
 
-        def item(x, i=i, k=k):
+    def of(i: int, k: str) -> Column:
+        def item(x):
             m = x["match"]
             n = F.char_length(_digits(m))
             valid = {
@@ -135,8 +135,9 @@ def candidates(text: Column) -> Column:
                 _side(F.right(x["before"], F.lit(1))).alias("left"), _side(x["after"]).alias("right"), x["before"].rlike(CUES[k]).cast("int").alias("cue"),
             )
 
-        kinds.append(F.transform(matches(text, LOOSE[k], _likely(k, text)), item))
-    return F.concat(*kinds)
+        return F.transform(matches(text, LOOSE[k], _likely(k, text)), item)
+
+    return F.concat(*(of(i, k) for i, k in enumerate(KINDS)))
 
 
 class Boosted:
@@ -233,7 +234,8 @@ def _listed(spans: Column) -> Column:
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of base spans, their digest, and all spans as one string."""
-    count = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    count = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
     return found.select(id_col, *count, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(every).alias("spans"))
 
