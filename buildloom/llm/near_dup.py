@@ -5,11 +5,17 @@ Two small hash collections, A and B, are computed per text; each yields `bands`
 bands**2 tables cost only 2 * bands * width minimum hashes.  Two texts of similarity s meet in
 some table with probability (1 - (1 - s**width)**bands)**2: 0.99993 at s = 0.8 as set here.
 
-Work on hot groups stays linear: texts with equal shingle sets are one class first; in every
-bucket all classes are compared with the smallest one (a star), and what links is merged.
-Buckets that still hold several components go on to more pivots, 4, 16, 64 ... at a time, each
-against the members of other components only, until every pair of a bucket is either compared
-or joined already.  No pair in a bucket is left out and none is capped.
+Work on hot groups stays near linear.  Texts with equal shingle sets are one class first.  In
+every bucket all classes are compared with its most central one, the one whose own buckets are
+the largest (a star), and what links is merged.  Buckets that still hold several components go
+on.  Large ones are first taken apart exactly: a class of theirs is looked up by its rarest
+shingles only, as many as a linked class cannot all lack (prefix filter), and lists of one
+component end there.  In what is left every pair of different components is compared: pair by
+pair in short lists; in long ones by their sketches, in tasks of `ROWS` by `BLOCK` rows, and only
+pairs that pass leave the task.  No pair is left out and none is capped.
+
+Before texts are joined, pairs whose bottom-k sketches put them far below the threshold go
+(4.5 deviations; exact for texts of up to `SKETCH` shingles).  Links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -18,15 +24,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from . import textvec as tv
-from .common import components, written
+from .common import commonest, components, written
 
-BANDS, WIDTH = 10, 2
+BANDS, WIDTH, SKETCH = 10, 2, 256
+#: buckets with more rows than this are taken apart by rare shingles
+LARGE = 48
+ROWS, BLOCK = 64, 4096
+#: shingles of such buckets that are known to be common, on every machine (16 bytes each)
+COMMONEST = 1 << 17
 
-_SIG = "id long, n_shingles long, h1 long, h2 long, sig binary, a array<long>, b array<long>"
+_SIG = "id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>"
 
 
 def _signatures(k: int, bands: int, width: int):
@@ -56,29 +66,154 @@ def _signatures(k: int, bands: int, width: int):
                 band = np.zeros((hi - lo, 2 * bands), np.uint64)
                 for j in range(width):
                     band = tv.mix(band + keys[:, :, j])
-                out.append((n, h.view(np.int64), (mixed >> np.uint64(56)).astype(np.uint8), band.view(np.int64)))
+                out.append((n, h.view(np.int64), band.view(np.int64)))
             if not out:
                 continue
-            n, h, sig, band = (np.concatenate(x) for x in zip(*out))
-            some = n > 0
+            n, h, band = (np.concatenate(x) for x in zip(*out))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, bands, dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() if x else None for s, x in zip(sig, some)], pa.binary()), lists(band[:, :bands]), lists(band[:, bands:])],
-                names=["id", "n_shingles", "h1", "h2", "sig", "a", "b"],
+                [ids.cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), lists(band[:, :bands]), lists(band[:, bands:])],
+                names=["id", "n_shingles", "h1", "h2", "a", "b"],
             )
 
     return run
 
 
-def _likely(least: float):
-    """Drops pairs whose signatures agree in a share far under the threshold (over five deviations)."""
+def _sketches(k: int):
+    """(id, sig): the smallest hashes of each text's shingles, their upper halves, in order."""
+
+    def run(batches):
+        for batch in batches:
+            buf, offsets = tv.text_buffer(batch.column(1))
+            for lo, hi in tv.groups(offsets):
+                part = offsets[lo : hi + 1]
+                words, _, _, woffs = tv.hash_words(buf[part[0] : part[-1]], part - part[0])
+                sets, offs = tv.distinct(*tv.shingles(words, woffs, k))
+                low = (sets >> np.uint64(32)).astype("<u4")
+                sig = [low[p : min(p + SKETCH, q)].tobytes() for p, q in zip(offs[:-1], offs[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sig, pa.binary())], names=["id", "sig"])
+
+    return run
+
+
+def _padded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of equal length, with what is missing beyond any hash, and their sizes."""
+    out = np.full((len(raw), SKETCH), 1 << 40, np.int64)
+    size = np.array([len(r) // 4 for r in raw])
+    for i, r in enumerate(raw):
+        out[i, : size[i]] = np.frombuffer(r, "<u4")
+    return out, size
+
+
+def _agree(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sketches leave a similarity of percent possible: the share both have of the smallest hashes of either."""
+    wide = np.concatenate([a, b], 1)
+    wide.sort(1)
+    real = wide < 1 << 40
+    twice = (wide[:, 1:] == wide[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real, 1)
+    rank[:, 1:] -= np.cumsum(twice, 1)
+    whole = (na < SKETCH) & (nb < SKETCH)
+    both = (twice & (rank[:, 1:] <= np.where(whole, 2 * SKETCH, SKETCH)[:, None])).sum(1)
+    share = percent / 100
+    return both / np.maximum(np.where(whole, rank[:, -1], SKETCH), 1) >= np.where(whole, share - 0.01, share - 4.5 * np.sqrt(share * (1 - share) / SKETCH))
+
+
+def _likely(percent: int):
+    """Drops pairs whose sketches agree too little."""
 
     def run(batches):
         for x in batches:
-            if not x.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array((a == b).mean(1) >= least))
+            keep = np.zeros(x.num_rows, bool)
+            for at in range(0, x.num_rows, 2048):
+                piece = x.slice(at, 2048)
+                keep[at : at + 2048] = _agree(*_padded(piece.column(2).to_pylist()), *_padded(piece.column(3).to_pylist()), percent)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(keep))
+
+    return run
+
+
+def _between(percent: int):
+    """The pairs of one task's rows, `few` against all, that are of different components and whose sketches agree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        few = np.array(table["few"].to_pylist(), bool)
+        rep, label, minor = table["rep"].to_numpy(), table["label"].to_numpy(), np.array(table["minor"].to_pylist(), bool)
+        sig, size = _padded(table["sig"].to_pylist())
+        members = np.flatnonzero(~few)
+        u, v = [], []
+        for i in np.flatnonzero(few):
+            # two rows of the few meet once, from the smaller one
+            other = members[(label[members] != label[i]) & (~minor[members] | (rep[members] > rep[i]))]
+            for at in range(0, len(other), 2048):
+                some = other[at : at + 2048]
+                good = some[_agree(np.broadcast_to(sig[i], (len(some), SKETCH)), np.broadcast_to(size[i], len(some)), sig[some], size[some], percent)]
+                u += [int(rep[i])] * len(good)
+                v += rep[good].tolist()
+        return pa.table({"u": pa.array(np.minimum(u, v) if u else [], pa.int64()), "v": pa.array(np.maximum(u, v) if u else [], pa.int64())})
+
+    return run
+
+
+def _occurrences(k: int, most: int = 1 << 18):
+    """(key, n): how many texts have each shingle, summed within a task up to `most` shingles at a time."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            got, where = np.unique(keys, return_inverse=True)
+            return got, np.bincount(where, weights=n, minlength=len(got)).astype(np.int64)
+
+        def out(keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+        for batch in batches:
+            buf, offsets = tv.text_buffer(batch.column(0))
+            for lo, hi in tv.groups(offsets):
+                part = offsets[lo : hi + 1]
+                words, _, _, woffs = tv.hash_words(buf[part[0] : part[-1]], part - part[0])
+                held.append(np.unique(tv.distinct(*tv.shingles(words, woffs, k))[0], return_counts=True))
+                if sum(len(x) for x, _ in held) > 2 * most:
+                    held = [merged()]
+                    if len(held[0][0]) > most:
+                        yield out(*held[0])
+                        held = []
+        if held:
+            yield out(*merged())
+
+    return run
+
+
+def _rarest(k: int, percent: int, common):
+    """(rep, key): the shingles that a text and one linked with it cannot both lack.
+
+    Of n shingles a linked text has `overlap` or more, so one of the n - overlap + 1 first in any one order
+    is in both lists; the order puts the commonest shingles last.  All shingles where an id has several texts."""
+
+    def run(batches):
+        keys, times = common.value
+        for batch in batches:
+            buf, offsets = tv.text_buffer(batch.column(1))
+            least, several = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for lo, hi in tv.groups(offsets):
+                part = offsets[lo : hi + 1]
+                words, _, _, woffs = tv.hash_words(buf[part[0] : part[-1]], part - part[0])
+                sets, offs = tv.distinct(*tv.shingles(words, woffs, k))
+                rows, found = [], []
+                for i, (p, q) in enumerate(zip(offs[:-1], offs[1:])):
+                    mine, n = sets[p:q], int(q - p)
+                    often = np.zeros(n, np.int64)
+                    if len(keys) and n:
+                        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                        often = np.where(keys[at] == mine, times[at], 0)
+                    other = max(int(least[lo + i]), -(-n * percent // 100))
+                    overlap = -(-percent * (n + other) // (100 + percent))
+                    take = n if several[lo + i] > 1 else max(n - overlap + 1, 0)
+                    found.append(mine[np.lexsort((mine, often))[:take]])
+                    rows.append(np.full(take, lo + i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "key"])
 
     return run
 
@@ -119,53 +254,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(rows.mapInArrow(_signatures(k, bands, width), _SIG), "sigs")
     same = ["n_shingles", "h1", "h2"]
     linkable = sigs.where("n_shingles > 0 and id is not null")
-    classes = written(linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes = written(linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     # One id may carry several texts: then its classes meet through links of their own.
     twice = linkable.select("id", *same).distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     more = linkable.join(twice, "id").join(classes.select("rep", *same), same).select(F.col("id").alias("u"), F.col("rep").alias("v")).where("u <> v")
 
     table = F.transform("a", lambda p, i: F.transform("b", lambda q, j: F.xxhash64(p, q, i * bands + j)))
     keys = classes.select("rep", F.explode(F.flatten(table)).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
-    buckets = written(keys.join(shared, "key").where("rep <> pivot"), "buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    met = written(keys.join(shared, "key"), "met")
+    central = met.groupBy("rep").agg(F.sum("c").alias("weight"))
+    size = F.max("n_shingles").alias("n"), F.min("n_shingles").alias("low"), F.count("*").alias("sets")
+    sizes = written(classes.groupBy("rep").agg(*size).join(central, "rep"), "sizes")
+    texts = written(rows.where("id is not null").join(sizes.select(F.col("rep").alias("id")), "id", "left_semi"), "texts")
+    sketches = texts.mapInArrow(_sketches(k), "id long, sig binary").groupBy(F.col("id").alias("rep")).agg(F.min("sig").alias("sig"))
+    info = written(sizes.join(sketches, "rep"), "info")
+    met = met.join(sizes.select("rep", "n", "low", "sets", (-F.col("weight")).alias("place")), "rep")
+    pivots = met.groupBy("key").agg(F.min(F.struct("place", "rep")).alias("pivot")).select("key", F.col("pivot.rep").alias("pivot"))
+    buckets = written(met.join(pivots, "key").where("rep <> pivot"), "buckets")
 
-    info = classes.groupBy("rep").agg(F.max(F.col("n_shingles")).alias("n"), F.min("n_shingles").alias("n_low"), F.min("sig").alias("sig"), F.count("*").alias("c"))
+    def side(x: str) -> DataFrame:
+        return info.select(*(F.col(c).alias(x if c == "rep" else f"{c}_{x}") for c in ("rep", "n", "low", "sig", "sets")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        u = info.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("n_low").alias("lu"), F.col("sig").alias("su"), F.col("c").alias("cu"))
-        v = info.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("n_low").alias("lv"), F.col("sig").alias("sv"), F.col("c").alias("cv"))
-        sized = pairs.join(u, "u").join(v, "v").where("100 * least(nu, nv) >= %d * greatest(lu, lv)" % percent)
-        likely = written(sized.where("cu = 1 and cv = 1").select("u", "v", "su", "sv").mapInArrow(_likely(max(0.0, percent / 100 - 0.35)), "u long, v long").union(sized.where("cu > 1 or cv > 1").select("u", "v")), "likely")
-        texts = rows.where("id is not null").join(likely.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
-        texts = written(texts, "texts")
-        first = likely.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-        pair = first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-        return written(pair.select("u", "v", "tu", "tv").mapInArrow(_linked(k, percent), "u long, v long").distinct(), "linked")
-
-    seen = written(buckets.select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
-    links = confirm(seen).union(more)
+        sized = pairs.join(side("u"), "u").join(side("v"), "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(low_u, low_v)")
+        plain = sized.where("sets_u = 1 and sets_v = 1").select("u", "v", "sig_u", "sig_v").mapInArrow(_likely(percent), "u long, v long")
+        likely = written(plain.union(sized.where("sets_u > 1 or sets_v > 1").select("u", "v")), "likely")
+        first = likely.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+        pair = first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
+        return written(pair.select("u", "v", "text_u", "text_v").mapInArrow(_linked(k, percent), "u long, v long").distinct(), "linked")
+
+    def several(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component, with their labels."""
+        known = rows.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"), F.min("low").alias("least")).where("x <> y").select("key", "rows", "least")
+        return known.drop("rows", "least").join(mixed, "key")
+
+    seen = written(buckets.select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v")).distinct(), "pairs")
+    links = written(confirm(seen).union(more), "links")
     label = components(links)
-    lo, step = 1, 4
-    ranked = None
-    while True:
-        # the pivot that all have met is not in buckets, so a bucket of two ends here
-        known = (buckets if ranked is None else ranked).join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        left = known.join(mixed, "key")
-        if ranked is None:
-            left = left.select("key", "rep", "label", F.row_number().over(Window.partitionBy("key").orderBy("rep")).alias("rank"))
-        left = written(left, "left")
-        pivots = left.where((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("rank").alias("ru"))
-        pairs = pivots.join(left.withColumnRenamed("rep", "v"), "key").where("rank > ru and label <> lu and u <> v").select("u", "v").distinct()
-        pairs = written(pairs.join(seen, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = written(links.union(confirm(pairs)), "links")
-            label = components(links)
-            seen = seen.union(pairs)
-        lo, step = lo + step, step * 4
-        ranked = left.select("key", "rep", "rank").where(F.col("rank") >= lo)
-        if ranked.isEmpty():
-            break
+    # buckets lacks the pivot, which all others have met
+    left = written(several(buckets.select("key", "rep", "place", "n", "low", "sets"), label), "left")
+    row = ["key", "rep", "place", "n", "low", "sets"]
+    large = left.where(F.col("rows") > LARGE).groupBy("rep").agg(*(F.first(c).alias(c) for c in row[2:]), F.min("least").alias("least"))
+    apart = written(texts.join(large.select(F.col("rep").alias("id"), "least", "sets"), "id").select("id", "text", "least", "sets"), "apart")
+    times = written(apart.select("text").mapInArrow(_occurrences(k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "times")
+    got = commonest(times, COMMONEST).toArrow()
+    order = np.argsort(got["key"].to_numpy().view(np.uint64))
+    common = docs.sparkSession.sparkContext.broadcast((got["key"].to_numpy().view(np.uint64)[order], got["n"].to_numpy()[order]))
+    lists = apart.mapInArrow(_rarest(k, percent, common), "rep long, key long").distinct().join(large, "rep")
+    left = left.where(F.col("rows") <= LARGE).select(*row).unionByName(lists.select(*row))
+    left = written(several(left, label), "left")
+    short = left.where(F.col("rows") <= LARGE).select("key", "rep", "label", "n", "low")
+    other = short.select("key", *(F.col(c).alias(f"{c}_v") for c in ("rep", "label", "n", "low")))
+    able = F.expr(f"rep < rep_v and label <> label_v and 100 * least(n, n_v) >= {percent} * greatest(low, low_v)")
+    pairs = short.join(other, "key").where(able).select(F.col("rep").alias("u"), F.col("rep_v").alias("v"))
+    # long lists: all rows against those outside the list's largest component
+    long = left.where(F.col("rows") > LARGE).select("key", "rep", "label")
+    major = long.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("x")).select("key", F.col("x.label").alias("major"))
+    long = long.join(major, "key").withColumn("minor", F.col("label") != F.col("major"))
+    # rows fall into blocks by a hash, and so do the few; as many of either as their count asks for
+    count = long.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("minor") / ROWS).cast("int").alias("chunks"))
+    long = written(long.join(count, "key").join(info.select("rep", "sig"), "rep"), "long")
+    at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    every = long.select("key", "rep", "label", "minor", "sig", F.lit(False).alias("few"), at(1, "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    few = long.where("minor").select("key", "rep", "label", "minor", "sig", F.lit(True).alias("few"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at(2, "chunks").alias("chunk"))
+    pairs = pairs.union(every.unionByName(few).groupBy("key", "block", "chunk").applyInArrow(_between(percent), "u long, v long"))
+    pairs = written(pairs.distinct().join(seen, ["u", "v"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        links = written(links.union(confirm(pairs)), "links")
+        label = components(links)
 
     one = sigs.select("id", *same).join(classes.select("rep", *same), same, "left")
     one = one.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
