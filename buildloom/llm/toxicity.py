@@ -3,8 +3,9 @@
 A sentence's score is a logistic function of the words and the beginnings of words (`HEADS` bytes,
 so that inflected forms count together) in it; a document's is the noisy-or of its sentences', and
 the weights are fitted to document labels alone.  The fit uses at most `MOST_LABELLED` labelled
-documents and what is found in `LEAST_DOCS` of them or more; scoring reads every sentence of every
-whole text and says which sentences offend.
+documents, and of their words and beginnings those that `LEAST_DOCS` toxic ones hold and that are
+half as frequent again in toxic ones as in others; scoring reads every sentence of every whole text
+and says which sentences offend.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from . import textvec as tv
 from .common import held_out
 from .labelled import training_sample
 
-MOST_LABELLED, LEAST_DOCS, HEADS = 8000, 4, (5, 6, 7, 8, 9)
+MOST_LABELLED, LEAST_DOCS, HEADS = 6000, 3, (5, 6, 7, 8, 9)
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[10, 33, 46, 63]] = True  # line end ! . ?
@@ -86,17 +87,21 @@ def fit(texts, y: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float
     buf, offsets = tv.text_buffer(texts)
     hashes, sentence, soffs, _, _ = sentence_words(buf, offsets)
     n = int(soffs[-1])
-    words, sentence = np.concatenate(hashes), np.tile(sentence, len(hashes))
-    if not n or not len(y):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -9.0)
     doc = np.repeat(np.arange(len(y)), np.diff(soffs))
-    vocab, feature = np.unique(words, return_inverse=True)
-    in_docs = np.bincount(np.unique(doc[sentence] * len(vocab) + feature) % len(vocab), minlength=len(vocab))
-    keep = (in_docs >= least_docs) & (vocab > 0)
-    new = np.cumsum(keep) - 1
-    used = keep[feature]
-    known, m = vocab[keep], int(keep.sum())
-    s, f = _once(sentence[used], new[feature[used]], max(m, 1))
+    bad, good = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
+    known, s, f = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for h in hashes:
+        vocab, feature = np.unique(h, return_inverse=True)
+        found = np.unique(doc[sentence] * len(vocab) + feature)
+        in_bad = np.bincount(found % len(vocab), weights=y[found // len(vocab)], minlength=len(vocab))
+        in_docs = np.bincount(found % len(vocab), minlength=len(vocab))
+        keep = (in_bad >= least_docs) & (in_bad / bad >= 1.5 * (in_docs - in_bad) / good) & (vocab > 0)
+        new, used = np.cumsum(keep) - 1, keep[feature]
+        if used.any():
+            more = _once(sentence[used], new[feature[used]], int(keep.sum()))
+            s, f = np.concatenate([s, more[0]]), np.concatenate([f, more[1] + len(known)])
+            known = np.concatenate([known, vocab[keep]])
+    m = len(known)
     full = np.flatnonzero(np.diff(soffs))
     theta = np.append(np.zeros(m), -5.0)  # the words' weights, then the bias
     mean, square = np.zeros(m + 1), np.zeros(m + 1)
@@ -109,7 +114,8 @@ def fit(texts, y: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         theta -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
     w, bias = theta[:m], theta[m]
-    strong = np.abs(w) >= 0.02
+    strong = np.flatnonzero(np.abs(w) >= 0.02)
+    strong = strong[np.argsort(known[strong])]
     return Model(known[strong], w[strong], float(bias))
 
 
