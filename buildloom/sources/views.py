@@ -37,7 +37,7 @@ VIEWS = {
         from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "steps": """
         select event_id as step_id, event_type as step_type, user_id as target_id,
-               epoch_ms(ts) as start_ms, epoch_ms(ts) + cast(round(greatest(coalesce(value, 0), 0) * 1000) as bigint) as end_ms
+               epoch_us(ts) // 1000 as start_ms, epoch_us(ts) // 1000 + cast(round(greatest(coalesce(value, 0), 0) * 1000) as bigint) as end_ms
         from events""",
     "snapshots": """
         select cast(year(o_orderdate) as int) as label, o_orderpriority as target, cast(count(*) as bigint) as files,
@@ -64,7 +64,7 @@ def ctes(*names: str, recursive: bool = False) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the tables of a folder; only columns and rows in use are read."""
-    sql = VIEWS[name].replace("epoch_ms(ts)", "unix_millis(cast(ts as timestamp))")
+    sql = VIEWS[name].replace("epoch_us(ts) // 1000", "unix_millis(cast(ts as timestamp))")
     bound = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql}
     bound |= {n: view(spark, sf_dir, n) for n in NEEDS.get(name, ())}
     for n, df in bound.items():
