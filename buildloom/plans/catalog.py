@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import minmax
+from ..operators import clusters as cl
 from ..operators import graph as g
 from ..operators import history as h
 from ..operators import metrics as m
+from ..operators import recommend as rc
 from ..sources import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,6 +496,33 @@ def edge_deltas(edges):
 SQL["edge_deltas"] = SQL["edge_deltas"].replace("b as (select distinct src, dst", "b as (select distinct src, dst, 1 x").replace("a as (select distinct src, dst", "a as (select distinct src, dst, 1 x").replace("b.src is null", "b.x is null").replace("a.src is null", "a.x is null")
 
 
+@query(">p as (select min(ts) a, max(ts) b from commit_log)," + _CL.lstrip(">") + """, r as (select node, cast(ms + coalesce((select sum(n.ms) from c join nodes n on n.node = c.src where c.dst = x.node), 0) as bigint) rebuild_ms from nodes x),
+ k as (select file_id node, count(distinct commit_id) n from commit_log group by 1)
+ select node, rebuild_ms, round(coalesce(n, 0) / 120.0, 4) commits_a_day, cast(floor(coalesce(n, 0) / 120.0 * rebuild_ms) as bigint) daily_ms from r left join k using (node)""", (EDGES, NODES, LOG), recursive=True)
+def daily_cost(edges, nodes, log):
+    changes = log.groupBy(F.col("file_id").alias("node")).agg(F.countDistinct("commit_id").alias("commits"))
+    return rc.daily_cost(g.rebuild_cost(nodes, edges), changes, months=6)
+
+
+@query(_CL + """, u as (select dst, count(*) fan from c group by 1), d as (select dst, count(*) direct from edges group by 1),
+ x as (select file_id item, fan * size * 0.3 / 1e6 impact, greatest(0.5, least(20.0, direct * 0.5)) effort, 0.4 + 0.2 * least(1.0, fan / 500) confidence from files join u on u.dst = file_id join d on d.dst = file_id)
+ select 'split_header' as type, item, round(impact, 6) impact, round(effort, 6) effort, round(confidence, 6) confidence from x where impact > 0 order by impact desc, item limit 20""", (EDGES, "files"), recursive=True)
+def header_interventions(edges, files):
+    fan = g.closure(edges).groupBy(F.col("dst").alias("header")).agg(F.count("*").alias("fan_in"))
+    direct = edges.groupBy(F.col("dst").alias("header")).agg(F.count("*").alias("direct"))
+    return rc.header_interventions(files.select(F.col("file_id").alias("header"), "size").join(fan, "header").join(direct, "header"))
+
+
+@query(None, (LOG, "files"))
+def contributor_clusters(log, files):
+    return cl.hierarchy(h.contributor_matrix(log.join(files.select("file_id", "target"), "file_id"), "target", 10, 5), "target", "contributor", "n")
+
+
+@query(None, (LOG, "files"))
+def contributor_factors(log, files):
+    return cl.factor_groups(h.contributor_matrix(log.join(files.select("file_id", "target"), "file_id"), "target", 10, 5), "target", "contributor", "n", 3, 5)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
