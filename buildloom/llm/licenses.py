@@ -48,7 +48,7 @@ SENTENCE_END = r"\n+|(?<=[.!?:])\s+"
 def _templates(spark: SparkSession) -> DataFrame:
     """(template, license, bigram, size, fewest, most) rows; as many as the list above has bigrams."""
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(TEMPLATES)], "template int, license string, text string")
-    rows = rows.select("template", "license", _words("text").alias("words")).select("template", "license", _bigrams("words").alias("bigrams"))
+    rows = rows.select("template", "license", _words("text").alias("words")).select("template", "license", _bigrams(F.col("words")).alias("bigrams"))
     return rows.select("template", "license", F.size("bigrams").alias("size"), F.explode("bigrams").alias("bigram"))
 
 
@@ -57,10 +57,17 @@ def _words(column: str) -> F.Column:
     return F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(column)), "[^a-z0-9.]+", " "), r"\.+(?= |$)", "")), " +")
 
 
-def _bigrams(column: str) -> F.Column:
-    """The distinct pairs of neighbours."""
-    w = F.col(column)
-    return F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+def _bigrams(words: F.Column) -> F.Column:
+    """The distinct pairs of neighbours; the words are bound once, by a list of one."""
+    pairs = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    return F.array_distinct(F.flatten(F.transform(F.array(words), pairs)))
+
+
+def _sized(words: F.Column, fewest: float, most: float) -> F.Column:
+    """array<struct<n, bigram>> of the distinct bigrams, none if their number is out of bounds."""
+    none = F.array().cast("array<struct<n:int,bigram:string>>")
+    each = lambda b: F.when((F.size(b) >= fewest) & (F.size(b) <= most), F.transform(b, lambda x: F.struct(F.size(b).alias("n"), x.alias("bigram")))).otherwise(none)
+    return F.flatten(F.transform(F.array(_bigrams(words)), each))
 
 
 def license_scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,11 +82,8 @@ def license_scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id",
     low, high = least / (2 - least), (2 - least) / least
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = rows.select("row", "id", F.posexplode(F.split("text", SENTENCE_END)).alias("sentence", "text"))
-    # a bigram takes four characters or more, and no sentence has more of them than gaps between words
-    found = found.where((F.char_length("text") >= int(3 * min(sizes) * low)) & F.col("text").rlike("[A-Za-z0-9][^A-Za-z0-9.]+[A-Za-z0-9]"))
-    found = found.select("row", "id", "sentence", _words("text").alias("words")).where(F.size("words") > min(sizes) * low)
-    found = found.select("row", "id", "sentence", _bigrams("words").alias("bigrams")).withColumn("n", F.size("bigrams")).where((F.col("n") >= min(sizes) * low) & (F.col("n") <= max(sizes) * high))
-    met = found.select("row", "id", "sentence", "n", F.explode("bigrams").alias("bigram")).join(F.broadcast(_templates(spark)), "bigram")
+    found = found.where(F.char_length("text") >= int(3 * min(sizes) * low)).select("row", "id", "sentence", F.explode(_sized(_words("text"), min(sizes) * low, max(sizes) * high)).alias("b"))
+    met = found.select("row", "id", "sentence", "b.n", "b.bigram").join(F.broadcast(_templates(spark)), "bigram")
     met = met.where((F.col("n") >= F.col("size") * low) & (F.col("n") <= F.col("size") * high))
     dice = met.groupBy("row", "id", "sentence", "template", "license", "n", "size").agg((F.lit(2.0) * F.count("*") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= least)
     best = dice.groupBy("row", "id", "sentence").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
