@@ -93,7 +93,7 @@ def _count(path: str):
             rows = []
             for text in batch.column(1):
                 words = (text.as_py() or "").split()
-                new = set(words) - known.keys()
+                new = [w for w in set(words) if w not in known]
                 if len(known) + len(new) > REMEMBERED:
                     known, new = {}, set(words)
                 for w in new:
