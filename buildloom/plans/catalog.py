@@ -435,7 +435,7 @@ def ownership_risk(log, files):
     return c.join(time, "target").select("target", (F.col("top_share") * F.col("gini") * F.sqrt("ms")).alias("risk"))
 
 
-@query(_CL + ", u as (select dst, count(*) n from c group by 1) select file_id, round(coalesce(n, 0) * size * (1.0 + commits), 6) impact from file_metrics left join u on dst = file_id", (EDGES, FILES), recursive=True)
+@query(_CL + ", u as (select dst, count(*) n from c group by 1) select file_id, cast(coalesce(n, 0) * size * (1.0 + commits) as double) impact from file_metrics left join u on dst = file_id", (EDGES, FILES), recursive=True)
 def header_impact(edges, files):
     fan = g.closure(edges).groupBy(F.col("dst").alias("file_id")).agg(F.count("*").alias("n"))
     return files.join(fan, "file_id", "left").select("file_id", (F.coalesce("n", F.lit(0)) * F.col("size") * (1.0 + F.col("commits"))).alias("impact"))
@@ -505,7 +505,7 @@ def daily_cost(edges, nodes, log):
 
 
 @query(_CL + """, u as (select dst, count(*) fan from c group by 1), d as (select dst, count(*) direct from edges group by 1),
- x as (select file_id item, fan * size * 0.3 / 1e6 impact, greatest(0.5, least(20.0, direct * 0.5)) effort, 0.4 + 0.2 * least(1.0, fan / 500) confidence from files join u on u.dst = file_id join d on d.dst = file_id)
+ x as (select file_id item, fan * size * 0.3 / 1e6 impact, cast(greatest(0.5, least(20.0, direct * 0.5)) as double) effort, 0.4 + 0.2 * least(1.0, fan / 500) confidence from files join u on u.dst = file_id join d on d.dst = file_id)
  select 'split_header' as type, item, round(impact, 6) impact, round(effort, 6) effort, round(confidence, 6) confidence from x where impact > 0 order by impact desc, item limit 20""", (EDGES, "files"), recursive=True)
 def header_interventions(edges, files):
     fan = g.closure(edges).groupBy(F.col("dst").alias("header")).agg(F.count("*").alias("fan_in"))
