@@ -177,5 +177,5 @@ def test_decontamination_recall(spark):
 def test_subsequence_share():
     import numpy as np
 
-    item = decontam.Item(np.array([1, 2, 3, 4, 2], np.uint64), np.zeros(decontam.FEATURES))
+    item = decontam.Item(np.array([1, 2, 3, 4, 2], np.uint64), decontam.Words(np.array([1, 2, 3, 4], np.uint64), np.ones(4)))
     assert item.share([9, 1, 3, 2, 4, 2]) == (0.8, 1.0) and item.share([]) == (0.0, 0.0)
