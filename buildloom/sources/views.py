@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.storage import ship
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 VIEWS = {
@@ -64,6 +66,7 @@ def ctes(*names: str, recursive: bool = False) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the tables of a folder; only columns and rows in use are read."""
+    ship(spark)
     sql = VIEWS[name].replace("epoch_us(ts) // 1000", "unix_millis(cast(ts as timestamp))")
     bound = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql}
     bound |= {n: view(spark, sf_dir, n) for n in NEEDS.get(name, ())}
