@@ -26,7 +26,19 @@ le la les de du et un une en est que qui dans pour par au il sur ne se pas plus
 el los las y del por con para su al lo como más pero sus o este sí porque esta entre cuando muy sin
 """.split()
 
-_MARK = "(?<![^ ])(?:(?:%(w)s) )*(%(w)s) (?=[^ ])" % {"w": "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w)))}
+
+def _prefixes(words: set[str]) -> str:
+    """A pattern for exactly these words that tries each letter once."""
+    heads = sorted({w[0] for w in words if w})
+    parts = [c + _prefixes({w[1:] for w in words if w[:1] == c}) for c in heads]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)})" + ("?" if "" in words else "") if len(parts) > 1 or "" in words else parts[0]
+
+
+_ANY = _prefixes(set(COMMON))
+_BEFORE_ANOTHER = f"(?<![^ ])(?:{_ANY}) (?=(?:{_ANY})(?: |$))"
+_BEFORE_CONTENT = f"(?<![^ ])({_ANY}) (?=[^ ])"
 
 
 def normalised(text: Column) -> Column:
@@ -38,7 +50,7 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct signature hashes of a text (array<long>); a text without a spot has one, of its whole normalised words."""
     clean = normalised(text)
     # each run of common words goes, but for the last, which is joined to the content word after it
-    words = F.split(F.regexp_replace(clean, _MARK, "$1_"), " ")
+    words = F.split(F.regexp_replace(F.regexp_replace(clean, _BEFORE_ANOTHER, ""), _BEFORE_CONTENT, "$1_"), " ")
 
     def build(pair):
         rest = lambda i: [F.get(pair["bare"], i + j) for j in range(1, chain)]
@@ -46,14 +58,14 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
 
     # one struct, so that the split is made once
     pairs = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.substring_index(x, "_", -1)).alias("bare")))
-    found = F.flatten(F.transform(pairs, build))
-    return F.sort_array(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(clean)))))
+    found = F.array(F.flatten(F.transform(pairs, build)))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.xxhash64(clean)))))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard of two signature sets; 0 at once where one is null."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(both / (F.size(a) + F.size(b) - both), F.lit(0.0))
+    both = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.coalesce(both[0], F.lit(0.0))
 
 
 def digest(sigs: Column) -> Column:
@@ -61,10 +73,10 @@ def digest(sigs: Column) -> Column:
     return F.concat(F.size(sigs).cast("string"), F.lit("-"), F.sha2(F.concat_ws(",", sigs.cast("array<string>")).cast("binary"), 256))
 
 
-def with_next(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """rows with next_<column> of the following row in ascending order of the key (after the last: the first).
+def with_next(rows: DataFrame, key: str, first: str, columns: dict[str, Column] | None = None) -> DataFrame:
+    """rows, with columns added, and next_<column> of the following row in ascending order of the key (after the last: the first).
 
-    Null keys come first; rows of one key follow each other by the first column.  Keys are dealt into about
+    Null keys come first; rows of one key follow each other by `first`.  Keys are dealt into about
     4 * sqrt(rows) ranges by percentiles' ends, each range is sorted by itself, and the first row
     of each range is also lent to the range before it; no task sees all rows."""
     n, low, high = rows.agg(F.count("*"), F.percentile_approx(key, 0.001), F.percentile_approx(key, 0.999)).head()
@@ -72,7 +84,6 @@ def with_next(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
     at = F.col(key).cast("decimal(20,0)")
     place = F.when(at.isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), F.least(F.lit(ranges), F.floor((at - F.lit(low or 0)) / F.lit(width)).cast("int"))))
-    first = columns[0]
     rows = rows.withColumn("__range", place)
     order = [F.col(key).asc_nulls_first(), F.col(first).asc_nulls_first()]
     least = rows.groupBy("__range").agg(F.min(key).alias("__least"))
@@ -83,7 +94,10 @@ def with_next(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     lent = heads.withColumn("__range", F.col("__to")).select(*rows.columns, F.lit(1).alias("__lent"))
     both = rows.select(*rows.columns, F.lit(0).alias("__lent")).unionByName(lent)
     w = Window.partitionBy("__range").orderBy("__lent", *order)
-    return both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("__lent = 0").drop("__lent", "__range")
+    both = both.withColumn(f"next_{first}", F.lead(first).over(w))
+    # added where the rows already lie in order, so that they are made once and never shuffled
+    both = both.withColumns(columns or {})
+    return both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns or {})).where("__lent = 0").drop("__lent", "__range")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
@@ -100,7 +114,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or
     all) of the next document in ascending id order (after the last: the first; a lone one: its own)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("sigs", signatures(F.col("text"), chain)), "id", "text", "sigs")
+    rows = with_next(rows, "id", "text", {"sigs": signatures(F.col("text"), chain)})
     n = F.char_length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 4)))"), F.expr("substring(next_text, 1, int(floor(char_length(text) / 4)))"))
     rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sigs", "next_sigs").withColumn("edited_sigs", signatures(F.col("edited"), chain))
