@@ -64,8 +64,14 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False)) if least is None else counts.where((F.col("n") > 0) & (step >= least))
 
 
+#: texts handed to Python at once, so that neither side holds many MB of them
+TEXTS_AT_ONCE = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for a session's context."""
+    """Sends this package to the executors' Python workers, once for a session's context, and keeps Arrow batches of texts small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXTS_AT_ONCE:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
     sc = spark.sparkContext
     if not getattr(sc, "_buildloom_shipped", False):
         here = Path(__file__).resolve().parents[1]
