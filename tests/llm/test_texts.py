@@ -179,3 +179,21 @@ def test_subsequence_share():
 
     item = decontam.Item(np.array([1, 2, 3, 4, 2], np.uint64), decontam.Words(np.array([1, 2, 3, 4], np.uint64), np.ones(4)))
     assert item.share([9, 1, 3, 2, 4, 2]) == (0.8, 1.0) and item.share([]) == (0.0, 0.0)
+
+
+def _prose(draw, n):
+    return [draw.choice(["the", "of", "and"]) if draw.random() < 0.4 else f"{draw.choice('bdfgklmnprst')}{draw.choice('aeiou')}{draw.randrange(60)}" for _ in range(n)]
+
+
+def test_decontamination_finds_an_item_of_a_hot_group(spark):
+    import random
+
+    draw = random.Random(7)
+    items = [(i, _prose(draw, 36)) for i in range(20)]
+    hot = [*_prose(draw, 50), *items[0][1], *_prose(draw, 50)]
+    docs = [(d, " ".join(hot if d % 3 == 0 else _prose(draw, 136))) for d in range(900)]
+    docs += [(1000, " ".join([*_prose(draw, 70), *items[0][1], *_prose(draw, 7)]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
+    assert got == {(d, 0) for d in range(0, 900, 3)} | {(1000, 0)}
