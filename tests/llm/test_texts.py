@@ -197,3 +197,14 @@ def test_decontamination_finds_an_item_of_a_hot_group(spark):
     bench = spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
     assert got == {(d, 0) for d in range(0, 900, 3)} | {(1000, 0)}
+
+
+def test_decontamination_finds_each_of_many_items(spark):
+    import random
+
+    draw = random.Random(8)
+    docs = [(d, _prose(draw, 200)) for d in range(2000)]
+    bench = spark.createDataFrame([(d, " ".join(w[at : at + 36])) for d, w in docs for at in [draw.randrange(164)]], "item_id long, text string")
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
+    assert got == {(d, d) for d, _ in docs}
