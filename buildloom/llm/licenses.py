@@ -3,11 +3,14 @@
 A sentence of n bigrams and a template of m can reach Dice d only if n lies between
 m * d / (2 - d) and m * (2 - d) / d; sentences outside every template's bounds go before any
 bigram is made, and the rest meet only templates within whose bounds they lie.
+
+A notice may be wrapped over lines: lines in a row, up to a sentence's end or a line without words,
+are compared as one text too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEAST = 0.8
@@ -43,6 +46,8 @@ TEMPLATES = [
 
 #: sentences end at a line's end, or at . ! ? : before white space
 SENTENCE_END = r"\n+|(?<=[.!?:])\s+"
+#: those of the ends that end a run of lines: all but a single line end between two lines with words
+RUN_END = r"\n{2,}|(?<=[.!?:])\n|(?<=[.!?:])\s+|\n(?=[^a-zA-Z0-9\n]*\n)|(?<=\n[^a-zA-Z0-9\n]{0,8})\n"
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -70,10 +75,18 @@ def _sized(words: F.Column, fewest: float, most: float) -> F.Column:
     return F.flatten(F.transform(F.array(_bigrams(words)), each))
 
 
+def _pieces(text: str) -> F.Column:
+    """array<struct<text, run, at>> of the sentences; the first of several lines in a row has them all as run, and at counts the lines before in theirs."""
+    line = lambda lines, run: F.transform(lines, lambda x, i: F.struct(x.alias("text"), F.when((i == 0) & (F.size(lines) > 1), run).alias("run"), i.alias("at")))
+    return F.flatten(F.transform(F.split(text, RUN_END), lambda run: line(F.split(run, "\n"), run)))
+
+
 def license_scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sentence, license, dice): each sentence that a template matches by `least` or more, with its best one.
 
-    sentence is the sentence's number in its text; ties go to the smaller license identifier.  Null,
+    sentence is the sentence's number in its text; ties go to the smaller license identifier.  A
+    notice wrapped over lines has the number of its first line, and gives a row unless one of its
+    lines alone matches the same license.  Null,
     empty and license-free texts give no row.  A row that occurs twice is scanned twice and gives
     its rows twice; null ids stay; other columns are not read.  The templates, a fixed list, are
     broadcast."""
@@ -81,12 +94,16 @@ def license_scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id",
     sizes = [len({(a, b) for a, b in zip(w, w[1:])}) for w in (r["w"] for r in spark.createDataFrame([(t,) for _, t in TEMPLATES], "t string").select(_words("t").alias("w")).collect())]
     low, high = least / (2 - least), (2 - least) / least
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    found = rows.select("row", "id", F.posexplode(F.split("text", SENTENCE_END)).alias("sentence", "text"))
-    found = found.where(F.char_length("text") >= int(3 * min(sizes) * low)).select("row", "id", "sentence", F.explode(_sized(_words("text"), min(sizes) * low, max(sizes) * high)).alias("b"))
-    met = found.select("row", "id", "sentence", "b.n", "b.bigram").join(F.broadcast(_templates(spark)), "bigram")
+    found = rows.select("row", "id", F.posexplode(_pieces("text")).alias("sentence", "piece"))
+    texts = F.array(F.struct(F.lit(False).alias("wrapped"), F.col("piece.text")), F.struct(F.lit(True).alias("wrapped"), F.col("piece.run").alias("text")))
+    found = found.select("row", "id", "sentence", (F.col("sentence") - F.col("piece.at")).alias("first"), F.explode(texts).alias("one")).select("row", "id", "sentence", "first", "one.wrapped", "one.text")
+    found = found.where(F.char_length("text") >= int(3 * min(sizes) * low)).select("row", "id", "sentence", "first", "wrapped", F.explode(_sized(_words("text"), min(sizes) * low, max(sizes) * high)).alias("b"))
+    met = found.select("row", "id", "sentence", "first", "wrapped", "b.n", "b.bigram").join(F.broadcast(_templates(spark)), "bigram")
     met = met.where((F.col("n") >= F.col("size") * low) & (F.col("n") <= F.col("size") * high))
-    dice = met.groupBy("row", "id", "sentence", "template", "license", "n", "size").agg((F.lit(2.0) * F.count("*") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= least)
-    best = dice.groupBy("row", "id", "sentence").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
+    dice = met.groupBy("row", "id", "sentence", "first", "wrapped", "template", "license", "n", "size").agg((F.lit(2.0) * F.count("*") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= least)
+    best = dice.groupBy("row", "id", "sentence", "first", "wrapped").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
+    alone = F.min("wrapped").over(Window.partitionBy("row", "first", "best.license"))
+    best = best.withColumn("alone", alone).where(F.col("wrapped") == F.col("alone"))
     return best.select(F.col("id").alias(id_col), F.col("sentence").cast("long").alias("sentence"), F.col("best.license").alias("license"), F.round(-F.col("best.d"), 6).alias("dice"))
 
 

@@ -208,3 +208,16 @@ def test_decontamination_finds_each_of_many_items(spark):
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(4)
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
     assert got == {(d, d) for d, _ in docs}
+
+
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    wrap = lambda kind, k, start="": textwrap.fill([t for x, t in licenses.TEMPLATES if x == kind][k], 70, initial_indent=start, subsequent_indent=start)
+    mit, bsd, gpl = wrap("MIT", 3), wrap("BSD-3-Clause", 0), wrap("GPL-3.0-or-later", 0)
+    comment = "/*\n * Copyright (c) 2020 Someone Else and Others\n *\n" + wrap("MIT", 3, " * ") + "\n *\n * The end\n */"
+    docs = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit + "\n\nThe end"), (2, bsd), (3, "Name\n\n" + gpl), (4, comment)]
+    docs += [(5, "A first line\nReleased under the MIT License.\nLast line"), (6, "Released under the MIT License\n" + bsd), (7, "no license\nat all\n\nhere"), (8, "Released under\nthe MIT License.")]
+    got = {(r.doc_id, r.sentence, r.license) for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # a colon ends the first line's sentence of the GPL notice
+    assert got == {(1, 2, "MIT"), (2, 0, "BSD-3-Clause"), (3, 2, "GPL-3.0-or-later"), (4, 3, "MIT"), (5, 1, "MIT"), (6, 0, "MIT"), (6, 0, "BSD-3-Clause"), (8, 0, "MIT")}
