@@ -1,13 +1,19 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
 Base spans (email, ip, card, phone) are found by their formats and checks and always stay.
-Generators of high recall propose further spans that may overlap; each has format and context
-features, all small whole numbers.  Counts of (features, whether a base span of the kind is
-there) over all candidates of all documents are what the trees are boosted on: there are at most
-`CELLS` different rows of features, so the fit's input is bounded by them and not by the corpus.
-The trees become one expression over the features.  A threshold for each kind is calibrated on
-the documents held out by crc32(id) mod 5 = 0; what reaches it and overlaps nothing better is
-added.
+Generators of high recall propose further spans that may overlap (short and long card numbers,
+written-out mail addresses, IPv6, national phone numbers, numbers run together); each has format
+and context features, all small whole numbers, and a check of its own that no feature shows:
+Luhn's sum, octets or hextets, a top-level domain, groups as phone numbers have them.  The trees
+are boosted on whether candidates of such features pass their check, from counts of (features,
+passes) over all candidates of all documents: there are at most `CELLS` different rows of
+features, so the fit's input is bounded by them and not by the corpus.
+
+Other numbers pass a check by chance, in a share `CHANCE` of them.  So if candidates of some
+features pass in a share r, a part (r - chance) / (1 - chance) of them is real, and one that passes
+is real in that part over r.  Thresholds for each kind are calibrated on the documents held out by
+crc32(id) mod 5 = 0; a kind with few candidates there leans on all kinds together.  What passes,
+reaches its threshold and overlaps nothing better is added.
 """
 
 from __future__ import annotations
@@ -39,10 +45,14 @@ CUES = {
     "card": r"(?i)card|visa|master|amex|credit|pay",
     "phone": r"(?i)phone|tel|call|mobile|fax|cell",
 }
-#: kind, valid, digits, groups, left, right, cue: how many values each feature has
-FEATURES = {"kind": 4, "valid": 2, "digits": 7, "groups": 4, "left": 3, "right": 3, "cue": 2}
+#: kind, digits, groups, left, right, cue: how many values each feature has
+FEATURES = {"kind": 4, "digits": 7, "groups": 4, "left": 3, "right": 3, "cue": 2}
 CELLS = int(np.prod(list(FEATURES.values())))
-ROUNDS, RATE, LEAST_PRECISION, LEAST_SEEN = 40, 0.3, 0.95, 20
+#: the share of other signs that pass a kind's check: Luhn's sum is right one time in ten, the rest are set by hand
+CHANCE = {"email": 0.3, "ip": 0.3, "card": 0.1, "phone": 0.3}
+ROUNDS, RATE, LEAST_PRECISION = 40, 0.3, 0.85
+#: candidates of all kinds together that a kind's own held-out ones are weighed against
+PRIOR = 20.0
 
 
 def _likely(kind: str, text: Column) -> Column:
@@ -116,17 +126,17 @@ def _side(c: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, kind, valid, digits, groups, left, right, cue>> of all generators; spans may overlap."""
+    """array<struct<start, end, kind, valid, digits, groups, left, right, cue>> of all generators; spans may overlap.  valid tells if the kind's check is passed and is no feature."""
 
     def of(i: int, k: str) -> Column:
         def item(x):
             m = x["match"]
             n = F.char_length(_digits(m))
             valid = {
-                "email": m.rlike(r"^[A-Za-z0-9][^\x20]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"),
+                "email": m.rlike(r"^[A-Za-z0-9].*(?:\.|dot[\])]\x20?)[A-Za-z]{2,}$"),
                 "ip": m.rlike(_OCTETS) | m.rlike(r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$"),
-                "card": luhn(_digits(m)),
-                "phone": m.rlike(r"^(?:\+|00)?[0-9]{0,3}\x20?[(]?[0-9]{2,4}[)]?[\x20./-][0-9]{3,4}[\x20./-]?[0-9]{3,4}$"),
+                "card": n.between(13, 19) & luhn(_digits(m)),
+                "phone": n.between(8, 15) & m.rlike(r"^(?:\+|00)?[0-9]{0,3}\x20?[(]?[0-9]{2,4}[)]?[\x20./-][0-9]{3,4}[\x20./-]?[0-9]{3,4}$"),
             }[k]
             bins = F.when(n < 7, 0).when(n == 7, 1).when(n < 10, 2).when(n < 13, 3).when(n < 16, 4).when(n < 20, 5).otherwise(6)
             groups = F.when(m.contains("("), 2).when(m.rlike(r"^[^\x20./:-]*$"), 0).when(m.rlike(r"\x20[^-./]*[./-]|[./-][^\x20]*\x20"), 3).otherwise(1)
@@ -181,50 +191,75 @@ class Boosted:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def precision(passed, chance):
+    """The share of real ones among those that pass, where a share `passed` of all pass and `chance` of the others do."""
+    return (passed - chance) / ((1 - chance) * passed)
+
+
 def thresholds(rows: list[dict], scores: np.ndarray, least: float = LEAST_PRECISION) -> list[float]:
-    """For each kind the least score from which on held-out candidates are base spans in a share of `least`; 2 (none) without `LEAST_SEEN` such."""
-    out = []
-    for k in range(len(KINDS)):
-        mine = sorted((i for i, r in enumerate(rows) if r["kind"] == k), key=lambda i: -scores[i])
-        n = y = 0
+    """For each kind the least score from which on held-out candidates that pass their check are real in a share of `least`; 2 (none) where no score will do.
+
+    The share that passes is read off the held-out rows of the kind, with `PRIOR` more of all kinds
+    together, and with the model's own scores where there are none at all: no number switches a kind off."""
+    n, y = np.array([r["n_held"] for r in rows], float), np.array([r["y_held"] for r in rows], float)
+    kind, out = np.array([r["kind"] for r in rows], int), []
+    for k, name in enumerate(KINDS):
         found = 2.0
-        for i in mine:
-            n, y = n + rows[i]["n_held"], y + rows[i]["y_held"]
-            if n >= LEAST_SEEN and y >= least * n:
-                found = float(scores[i]) - 1e-9
+        for s in np.unique(scores[kind == k]):
+            above = scores >= s
+            mine = above & (kind == k)
+            pool = (y[above].sum() + s) / (n[above].sum() + 1.0)
+            share = (y[mine].sum() + PRIOR * pool) / (n[mine].sum() + PRIOR)
+            if precision(max(share, 1e-9), CHANCE[name]) >= least:
+                found = float(s) - 1e-9
+                break
         out.append(found)
     return out
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, added) of each row of docs: arrays of (kind, start, end), kinds 0 to 3 as in KINDS, code points, end exclusive.
+_SPANS = "array<struct<kind:int,start:int,end:int,score:double>>"
 
-    added holds what the boosted trees select beyond the base spans, score included; nothing in it
-    overlaps a base span or anything else in it.  Null texts count as empty and have no spans.
-    Repeated rows and null ids stay (a null id is not held out); other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col, 0).alias("held"))
-    rows = written(rows.select("id", "held", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("found")), "spans")
-    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
-    true = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & meets(b, F.col("c"))).cast("long")
-    cells = rows.select("base", "held", F.explode("found").alias("c")).select("held", "c", true.alias("t")).groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(
-        F.count_if(~F.col("held")).alias("n"), F.sum(F.when(~F.col("held"), F.col("t")).otherwise(0)).alias("y"), F.count_if("held").alias("n_held"), F.sum(F.when(F.col("held"), F.col("t")).otherwise(0)).alias("y_held"),
+
+def _meets(b: Column, c: Column) -> Column:
+    return (b["start"] < c["end"]) & (c["start"] < b["end"])
+
+
+def fitted(found: DataFrame) -> tuple[Boosted, list[float]]:
+    """The trees and thresholds for found(held, found), found as candidates() gives it."""
+    cells = found.select("held", F.explode("found").alias("c")).groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(
+        F.count_if(~F.col("held")).alias("n"), F.sum(F.when(~F.col("held"), F.col("c.valid")).otherwise(0)).alias("y"), F.count_if("held").alias("n_held"), F.sum(F.when(F.col("held"), F.col("c.valid")).otherwise(0)).alias("y_held"),
     )
     seen = sorted((r.asDict() for r in cells.collect()), key=lambda r: [r[f] for f in FEATURES])  # CELLS rows at most
     model = Boosted(seen)
-    least = thresholds(seen, model.scores)
+    return model, thresholds(seen, model.scores)
+
+
+def added_spans(base: Column, found: Column, model: Boosted, least: list[float]) -> Column:
+    """array<struct<kind, start, end, score>>: the candidates that pass their check and reach their threshold, best first where they overlap; none overlaps a base span."""
     limit = lambda c: F.element_at(F.array(*(F.lit(x) for x in least)), c["kind"] + 1)
-    fresh = F.filter("found", lambda c: ~F.exists("base", lambda b: meets(b, c)))
+    fresh = F.filter(found, lambda c: (c["valid"] == 1) & ~F.exists(base, lambda b: _meets(b, c)))
     scored = F.transform(fresh, lambda c: F.struct((-model.expression(c)).alias("low"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     scored = F.array_sort(F.filter(scored, lambda c: -c["low"] >= limit(c)))
-    kind = "array<struct<kind:int,start:int,end:int,score:double>>"
 
     def take(done, c):
         item = F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (-c["low"]).alias("score"))
-        return F.when(F.exists(done, lambda b: meets(b, c)), done).otherwise(F.concat(done, F.array(item)).cast(kind))
+        return F.when(F.exists(done, lambda b: _meets(b, c)), done).otherwise(F.concat(done, F.array(item)).cast(_SPANS))
+
+    out = F.array_sort(F.aggregate(scored, F.array().cast(_SPANS), take))
+    return F.when(F.exists(found, lambda c: c["valid"] == 1), out).otherwise(F.array().cast(_SPANS))
 
-    added = F.array_sort(F.aggregate(scored, F.array().cast(kind), take))
-    return rows.select(F.col("id").alias(id_col), "base", F.when(F.size(fresh) > 0, added).otherwise(F.array().cast(kind)).alias("added"))
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, base, added) of each row of docs: arrays of (kind, start, end), kinds 0 to 3 as in KINDS, code points, end exclusive.
+
+    added holds what the boosted trees select beyond the base spans, score included; nothing in it
+    overlaps a base span or anything else in it, and of overlapping candidates the better score, then
+    the earlier start counts.  Null texts count as empty and have no spans.  Repeated rows and null
+    ids stay (a null id is not held out); an empty table gives an empty result; other columns are not read.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col, 0).alias("held"))
+    rows = written(rows.select("id", "held", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("found")), "spans")
+    return rows.select(F.col("id").alias(id_col), "base", added_spans(F.col("base"), F.col("found"), *fitted(rows)).alias("added"))
 
 
 def _listed(spans: Column) -> Column:
@@ -258,10 +293,16 @@ def redact(text: Column, spans: Column) -> Column:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all found spans of the text replaced by <email>, <ip>, <card> or <phone>.
 
-    Rows are matched to their spans by id and text, so repeated ids keep their own texts; null texts stay null."""
-    found = find_pii(docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), text_col)), "__key", text_col)
+    The candidates are looked at twice, once to fit the trees and once to redact, so that no text is
+    shuffled and each row keeps its own.  Null texts stay null; repeated rows, null ids and all other
+    columns, whatever their names, stay as they are; an empty table gives an empty result."""
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), held_out(id_col, 0).alias("held")).select("row", "held", text.alias("text"))
+    rows = rows.select("row", "held", "text", candidates(F.col("text")).alias("found"))
+    model, least = fitted(rows.select("held", "found"))
+    rows = rows.select("row", "text", "found", base_spans(F.col("text")).alias("base"))
+    rows = rows.select("row", "text", "base", added_spans(F.col("base"), F.col("found"), model, least).alias("added"))
     every = F.concat("base", F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    spans = found.where((F.size("base") > 0) | (F.size("added") > 0)).select("__key", every.alias("__spans")).dropDuplicates(["__key"])
-    out = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), text_col)).join(spans, "__key", "left")
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return out.withColumn(text_col, redact(F.col(text_col), F.coalesce("__spans", none))).select(*docs.columns)
+    out = rows.select("row", redact(F.col("text"), every).alias("text"))
+    clean = F.when(F.col("row")[text_col].isNotNull(), F.col("text"))
+    return out.select(*(clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

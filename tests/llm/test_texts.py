@@ -122,12 +122,55 @@ def test_boosted_spans_are_added(spark):
     assert got[1000] == "phone:5:19" and got[1001] == "" and got[0] == "phone:5:22"
 
 
+def with_luhn(draw, n):
+    """n digits whose Luhn sum is right."""
+    d = [draw.randrange(10) for _ in range(n - 1)]
+    return next(x for c in range(10) if luhn(x := "".join(map(str, [*d, c]))))
+
+
+def test_added_spans_are_those_that_pass_and_whose_like_pass(spark):
+    import random
+
+    draw = random.Random(3)
+    # what stands after `card` is real, what stands after `ref` passes by chance alone
+    rows = [(i, f"my card {with_luhn(draw, 15)} is") for i in range(60)]
+    rows += [(100 + i, f"see ref {draw.randrange(10**14, 10**15)} is") for i in range(200)]
+    rows += [(400 + i, f"host 2001:db8:{i:x}:1:2:3:4:5 up") for i in range(30)] + [(500 + i, f"write to ann{i} [at] firm [dot] com, please") for i in range(30)]
+    rows += [(600, "my card 123456789012345 is"), (601, "host 2001:db8:1 up")]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, t in rows:
+        if i < 100:
+            assert got[i] == "card:8:23", (i, t)
+        elif 400 <= i < 430:
+            assert got[i] == f"ip:5:{len(t) - 3}"
+        elif 500 <= i < 530:
+            assert got[i] == f"email:9:{t.index(',')}"
+        else:
+            assert got[i] == "", (i, t)
+
+
+def test_thresholds_do_not_turn_on_a_number_of_cases():
+    cell = lambda kind, n: {"kind": kind, "n": n, "y": n, "n_held": n, "y_held": n}
+    import numpy as np
+
+    assert all(t < 1 for t in pii.thresholds([cell(k, n) for k in range(4) for n in (1, 500)], np.full(8, 0.99)))
+    assert pii.thresholds([{"kind": 2, "n": 5, "y": 0, "n_held": 100, "y_held": 10}], np.array([0.1]))[2] == 2.0
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é a@b.cd, 1.2.3.4!", 5), (2, None, 0), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     out = pii.redacted(docs)
     assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: "é <email>, <ip>!", 2: None, 3: "plain"}
 
 
+def test_redaction_leaves_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.cd", 7, "x", 3), (1, "c@d.ef 1.2.3.4", 8, None, None), (None, "g@h.ij", 9, "y", 1)], "doc_id long, text string, __key long, found string, held int")
+    out = pii.redacted(docs)
+    want = [(1, "<email>", 7, "x", 3), (1, "<email> <ip>", 8, None, None), (None, "<email>", 9, "y", 1)]
+    assert out.columns == docs.columns and sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+    assert pii.redacted(docs.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     docs = [(1, "Text here.\nReleased under the MIT License. More."), (2, "licensed under the apache license, version 2.0"), (3, "the MIT campus"), (4, None), (5, ""), (1, "Licensed under CC BY-NC 4.0.")]
     got = sorted(tuple(r) for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect())
