@@ -14,8 +14,9 @@ component end there.  In what is left every pair of different components is comp
 pair in short lists; in long ones by their sketches, in tasks of `ROWS` by `BLOCK` rows, and only
 pairs that pass leave the task.  No pair is left out and none is capped.
 
-Before texts are joined, pairs whose bottom-k sketches put them far below the threshold go
-(4.5 deviations; exact for texts of up to `SKETCH` shingles).  Links are confirmed on whole sets.
+A sketch counts a set's shingles in each of `SKETCH` cells of hash values.  Two sets share at most
+the smaller count of each cell, so a pair whose sketches put it below the threshold has no link,
+for certain; only such pairs go before texts are joined.  Links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ from pyspark.sql import Window
 from . import textvec as tv
 from .common import commonest, components, written
 
-BANDS, WIDTH, SKETCH = 10, 2, 256
+BANDS, WIDTH, SKETCH = 10, 2, 1024
 #: buckets with more rows than this are taken apart by rare shingles
 LARGE = 48
 ROWS, BLOCK = 64, 4096
 #: shingles of such buckets that are known to be common, on every machine (16 bytes each)
 COMMONEST = 1 << 17
 
+#: classes whose keys one task makes
+ROWS_AT_ONCE = 1 << 14
+
 _SIG = "id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>"
 
 
@@ -80,7 +84,7 @@ def _signatures(k: int, bands: int, width: int):
 
 
 def _sketches(k: int):
-    """(id, sig): the smallest hashes of each text's shingles, their upper halves, in order."""
+    """(id, sig): how many of each text's shingles fall into each cell, a byte for each; 255 and more are 255."""
 
     def run(batches):
         for batch in batches:
@@ -89,57 +93,45 @@ def _sketches(k: int):
                 part = offsets[lo : hi + 1]
                 words, _, _, woffs = tv.hash_words(buf[part[0] : part[-1]], part - part[0])
                 sets, offs = tv.distinct(*tv.shingles(words, woffs, k))
-                low = (sets >> np.uint64(32)).astype("<u4")
-                sig = [low[p : min(p + SKETCH, q)].tobytes() for p, q in zip(offs[:-1], offs[1:])]
+                cell = (sets >> np.uint64(64 - (SKETCH - 1).bit_length())).astype(np.int64)
+                sig = [np.minimum(np.bincount(cell[p:q], minlength=SKETCH), 255).astype(np.uint8).tobytes() for p, q in zip(offs[:-1], offs[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sig, pa.binary())], names=["id", "sig"])
 
     return run
 
 
-def _padded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches as rows of equal length, with what is missing beyond any hash, and their sizes."""
-    out = np.full((len(raw), SKETCH), 1 << 40, np.int64)
-    size = np.array([len(r) // 4 for r in raw])
-    for i, r in enumerate(raw):
-        out[i, : size[i]] = np.frombuffer(r, "<u4")
-    return out, size
+def _cells(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SKETCH)
 
 
-def _agree(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether two sketches leave a similarity of percent possible: the share both have of the smallest hashes of either."""
-    wide = np.concatenate([a, b], 1)
-    wide.sort(1)
-    real = wide < 1 << 40
-    twice = (wide[:, 1:] == wide[:, :-1]) & real[:, 1:]
-    rank = np.cumsum(real, 1)
-    rank[:, 1:] -= np.cumsum(twice, 1)
-    whole = (na < SKETCH) & (nb < SKETCH)
-    both = (twice & (rank[:, 1:] <= np.where(whole, 2 * SKETCH, SKETCH)[:, None])).sum(1)
-    share = percent / 100
-    return both / np.maximum(np.where(whole, rank[:, -1], SKETCH), 1) >= np.where(whole, share - 0.01, share - 4.5 * np.sqrt(share * (1 - share) / SKETCH))
+def _able(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a link is possible: the sets share at most the smaller count of each cell.  A full cell tells nothing."""
+    both = np.minimum(a, b).sum(1, dtype=np.int64)
+    size = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
+    return (100 * both >= percent * (size - both)) | (a.max(1) == 255) | (b.max(1) == 255)
 
 
 def _likely(percent: int):
-    """Drops pairs whose sketches agree too little."""
+    """Drops pairs whose sketches leave no link possible."""
 
     def run(batches):
         for x in batches:
             keep = np.zeros(x.num_rows, bool)
             for at in range(0, x.num_rows, 2048):
                 piece = x.slice(at, 2048)
-                keep[at : at + 2048] = _agree(*_padded(piece.column(2).to_pylist()), *_padded(piece.column(3).to_pylist()), percent)
+                keep[at : at + 2048] = _able(_cells(piece.column(2).to_pylist()), _cells(piece.column(3).to_pylist()), percent)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     return run
 
 
 def _between(percent: int):
-    """The pairs of one task's rows, `few` against all, that are of different components and whose sketches agree."""
+    """The pairs of one task's rows, `few` against all, that are of different components and whose sketches leave a link possible."""
 
     def run(table: pa.Table) -> pa.Table:
         few = np.array(table["few"].to_pylist(), bool)
         rep, label, minor = table["rep"].to_numpy(), table["label"].to_numpy(), np.array(table["minor"].to_pylist(), bool)
-        sig, size = _padded(table["sig"].to_pylist())
+        sig, single = _cells(table["sig"].to_pylist()), table["sets"].to_numpy() == 1
         members = np.flatnonzero(~few)
         u, v = [], []
         for i in np.flatnonzero(few):
@@ -147,7 +139,7 @@ def _between(percent: int):
             other = members[(label[members] != label[i]) & (~minor[members] | (rep[members] > rep[i]))]
             for at in range(0, len(other), 2048):
                 some = other[at : at + 2048]
-                good = some[_agree(np.broadcast_to(sig[i], (len(some), SKETCH)), np.broadcast_to(size[i], len(some)), sig[some], size[some], percent)]
+                good = some[_able(sig[i : i + 1], sig[some], percent) | ~single[some] | ~single[i]]
                 u += [int(rep[i])] * len(good)
                 v += rep[good].tolist()
         return pa.table({"u": pa.array(np.minimum(u, v) if u else [], pa.int64()), "v": pa.array(np.maximum(u, v) if u else [], pa.int64())})
@@ -254,7 +246,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(rows.mapInArrow(_signatures(k, bands, width), _SIG), "sigs")
     same = ["n_shingles", "h1", "h2"]
     linkable = sigs.where("n_shingles > 0 and id is not null")
-    classes = written(linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes = linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
+    # each row becomes bands**2 keys: as many tasks as those ask for, not as many as these rows do
+    classes = written(classes.repartition(-(-sigs.count() // ROWS_AT_ONCE) or 1, "rep"), "classes")
     # One id may carry several texts: then its classes meet through links of their own.
     twice = linkable.select("id", *same).distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     more = linkable.join(twice, "id").join(classes.select("rep", *same), same).select(F.col("id").alias("u"), F.col("rep").alias("v")).where("u <> v")
@@ -310,15 +304,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = F.expr(f"rep < rep_v and label <> label_v and 100 * least(n, n_v) >= {percent} * greatest(low, low_v)")
     pairs = short.join(other, "key").where(able).select(F.col("rep").alias("u"), F.col("rep_v").alias("v"))
     # long lists: all rows against those outside the list's largest component
-    long = left.where(F.col("rows") > LARGE).select("key", "rep", "label")
+    long = left.where(F.col("rows") > LARGE).select("key", "rep", "label", "sets")
     major = long.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("x")).select("key", F.col("x.label").alias("major"))
     long = long.join(major, "key").withColumn("minor", F.col("label") != F.col("major"))
     # rows fall into blocks by a hash, and so do the few; as many of either as their count asks for
     count = long.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("minor") / ROWS).cast("int").alias("chunks"))
     long = written(long.join(count, "key").join(info.select("rep", "sig"), "rep"), "long")
     at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    every = long.select("key", "rep", "label", "minor", "sig", F.lit(False).alias("few"), at(1, "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    few = long.where("minor").select("key", "rep", "label", "minor", "sig", F.lit(True).alias("few"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at(2, "chunks").alias("chunk"))
+    every = long.select("key", "rep", "label", "minor", "sets", "sig", F.lit(False).alias("few"), at(1, "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    few = long.where("minor").select("key", "rep", "label", "minor", "sets", "sig", F.lit(True).alias("few"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at(2, "chunks").alias("chunk"))
     pairs = pairs.union(every.unionByName(few).groupBy("key", "block", "chunk").applyInArrow(_between(percent), "u long, v long"))
     pairs = written(pairs.distinct().join(seen, ["u", "v"], "left_anti"), "pairs")
     if not pairs.isEmpty():
@@ -331,7 +325,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return one.select(F.col("id").alias(id_col), "n_shingles", group.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without the near duplicates of a document with a smaller id."""
-    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """docs, all columns, without the near duplicates of a document with a smaller id.
+
+    Nulls, blank texts and repeated rows of a kept id stay; an empty table gives an empty result."""
+    gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col(id_col).alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

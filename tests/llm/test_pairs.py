@@ -70,6 +70,29 @@ def test_edge_cases(spark):
     assert {n for i, n, _, _ in got if i in (3, 4, 6)} == {0}
 
 
+def test_sketches_never_lose_a_link():
+    import numpy as np
+
+    draw = random.Random(6)
+    for _ in range(200):
+        a = {draw.getrandbits(64) for _ in range(draw.randrange(1, 3000))}
+        b = set(draw.sample(sorted(a), draw.randrange(len(a) // 2, len(a) + 1))) | {draw.getrandbits(64) for _ in range(draw.randrange(len(a) // 3 + 1))}
+        cells = [np.minimum(np.bincount([x >> 54 for x in s], minlength=nd.SKETCH), 255).astype(np.uint8)[None, :] for s in (a, b)]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert nd._able(*cells, 80)[0]
+        if len(a) < 2000 and not a & b:
+            assert not nd._able(*cells, 80)[0]
+
+
+def test_links_right_at_the_threshold(spark):
+    # 400 shingles, of which the pair shares just 80 of 100 of the union, or one too few
+    base = [f"w{i}" for i in range(364)]
+    over = lambda n: " ".join([*base[:n], *(f"z{i}" for i in range(364 - n))])
+    rows = [(1, " ".join(base)), *((10 + n, over(n)) for n in range(300, 364, 3))]
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5).collect()}
+    assert got == brute(rows, 5)
+
+
 def test_empty_table_and_stage(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert nd.near_duplicates(none).count() == 0
