@@ -1,13 +1,18 @@
-"""Language-model scores: a probabilistic suffix tree beside a smoothed word model.
-
-The tree's symbols are the bytes of the lower-cased words, one space between words and one end
-symbol; contexts reach back `DEPTH` symbols and never past the start of a text.  A context is a
-candidate if it makes up `MIN_SHARE` of all training symbols, so at most 1 / MIN_SHARE of each
-length exist whatever the corpus, and it is retained if its own next-symbol distribution differs
-from its suffix's by `MIN_GAIN` nats per training symbol (share times Kullback-Leibler
-divergence).  Distributions are smoothed towards the suffix's (Witten-Bell), the root's by 0.5.
-All retained contexts and their prefixes form one automaton, in which a text is scored by its
-longest-suffix states, many pieces of text side by side.
+"""Language-model scores: a probabilistic suffix tree over words.
+
+The tree's symbols are a text's words and its end, and one symbol for every word that the training
+texts lack; a context is a run of up to `DEPTH` symbols before the next one, and may begin with the
+end of the text before.  The root's next-symbol distribution is that of the word counts, 0.5 added
+to each.  A run of symbols is looked at if it occurs `SHARE` * N ** (2/3) times or more among the N
+training symbols (twice at least), so more and longer contexts come in as the input grows, but no
+more than N ** (1/3) / SHARE of each length, which is what every machine holds.  Counts of
+length k + 1 are taken only for runs whose two parts of length k are that frequent, one exact pass
+over the texts for each length.
+
+A context is retained if its own distribution of next symbols lies `GAIN` times the least count or
+more nats, summed over its occurrences, from what its suffix says (Kullback-Leibler divergence; next
+symbols that are rare there count as one).  Its distribution is smoothed towards its suffix's
+(Witten-Bell).  A text is scored by the longest retained suffix of what stands before each symbol.
 
 Word counts are exact: the commonest words' counts, a bounded number, are sent to all machines,
 and the other words of each text meet their counts in a join.
@@ -24,216 +29,213 @@ from pyspark.sql import types as T
 from . import textvec as tv
 from .common import commonest, held_out, written
 
-DEPTH, MIN_SHARE, MIN_GAIN = 5, 1e-5, 2e-6
-#: words whose counts every machine holds (12 bytes each)
+DEPTH, SHARE, GAIN = 3, 4e-4, 0.5
+#: words whose counts every machine holds beside the frequent ones (16 bytes each)
 SENT_WORDS = 1 << 18
-END, GAP = 10, 32
-_STRIDE = 256
 _END_WORD = int(tv.seeds(1, 4242).view(np.int64)[0])
+_END = np.uint64(_END_WORD & (1 << 64) - 1)
+
+
+def symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, each text closed by its end, and the texts' offsets in them."""
+    words, _, _, woffs = tv.hash_words(buf, offsets)
+    return np.insert(words, woffs[1:], _END), woffs + np.arange(len(woffs))
+
+
+def _longer(run: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, key) of the runs of k symbols and a next one, from the keys of the runs one shorter; 0 where the text has too few before."""
+    context = np.zeros_like(run)
+    context[1:] = run[:-1]
+    context[place == 0] = _END
+    key = tv.mix(context * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + tv.mix(run + np.uint64(k)))
+    few = place < k - 1
+    context[few] = key[few] = 0
+    return context, key
+
+
+def _place(offs: np.ndarray) -> np.ndarray:
+    return np.arange(offs[-1]) - np.repeat(offs[:-1], np.diff(offs))
+
+
+class Table:
+    """Values by sorted keys."""
+
+    def __init__(self, keys: np.ndarray, **values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], {c: v[order] for c, v in values.items()}
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys >> np.uint64(44)] = True
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The places of the asked keys, -1 for those that are not there."""
+        out = np.full(len(asked), -1, np.int64)
+        likely = np.flatnonzero(self.maybe[asked >> np.uint64(44)])
+        if len(self.keys) and len(likely):
+            at = np.minimum(np.searchsorted(self.keys, asked[likely]), len(self.keys) - 1)
+            hit = self.keys[at] == asked[likely]
+            out[likely[hit]] = at[hit]
+        return out
 
 
-def symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The symbol stream of all texts, the texts' offsets in it, word hashes and the texts' offsets in those."""
-    words, begin, end, woffs = tv.hash_words(buf, offsets)
-    length, n = end - begin, np.diff(woffs)
-    blank = np.flatnonzero(n == 0)
-    length = np.insert(length, woffs[blank], 0)
-    pieces = np.maximum(n, 1)
-    stop = np.cumsum(length + 1)  # one after each piece's separator
-    out = np.full(int(stop[-1]) if len(stop) else 0, GAP, np.uint8)
-    inside = np.flatnonzero(tv.SPACED[buf])
-    start = stop - length - 1
-    real = length > 0
-    out[np.repeat(start[real] - begin, length[real]) + inside] = tv.LOWER[buf[inside]]
-    text_end = stop[np.cumsum(pieces) - 1]
-    out[text_end - 1] = END
-    return out, np.concatenate([[0], text_end]), words, woffs
-
-
-def grams(stream: np.ndarray, offs: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Each symbol (low byte) under the depth symbols before it; before a text stand end symbols."""
-    n = len(stream)
-    out = stream.astype(np.uint64)
-    place = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
-    for back in range(1, depth + 1):
-        prior = np.full(n, END, np.uint64)
-        prior[back:] = stream[:-back]
-        prior[place < back] = END
-        out |= prior << np.uint64(8 * back)
-    return out.view(np.int64)
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    got, where = np.unique(keys, return_inverse=True)
-    return got, np.bincount(where, weights=n, minlength=len(got)).astype(np.int64)
-
-
-def _count(depth: int, most: int = 1 << 19):
-    """(kind, key, n) rows: kind 0 words, kind 1 grams; what a task has counted goes out before it grows beyond `most` keys of a kind."""
+def _counted(found, most: int = 1 << 19):
+    """(key, n) of what found(stream, offs) gives for each stretch of texts; what a task has counted goes out before it grows beyond `most` keys."""
 
     def run(batches):
-        held: dict[int, list] = {0: [], 1: []}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(kind):
-            keys, n = _merge(held[kind])
-            held[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+        def merged():
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            got, where = np.unique(keys, return_inverse=True)
+            return got, np.bincount(where, weights=n, minlength=len(got)).astype(np.int64)
 
         for batch in batches:
             buf, offsets = tv.text_buffer(batch.column(0))
             for lo, hi in tv.groups(offsets):
                 part = offsets[lo : hi + 1]
-                stream, offs, words, _ = symbols(buf[part[0] : part[-1]], part - part[0])
-                for kind, found in ((0, np.concatenate([words.view(np.int64), np.full(hi - lo, _END_WORD)])), (1, grams(stream, offs, depth))):
-                    held[kind].append(np.unique(found, return_counts=True))
-                    if sum(len(k) for k, _ in held[kind]) > 2 * most:
-                        held[kind] = [_merge(held[kind])]
-                        if len(held[kind][0][0]) > most:
-                            yield out(kind)
-        for kind in (0, 1):
-            if held[kind]:
-                yield out(kind)
+                held.append(np.unique(found(*symbols(buf[part[0] : part[-1]], part - part[0])), return_counts=True))
+                if sum(len(k) for k, _ in held) > 2 * most:
+                    held = [merged()]
+                    if len(held[0][0]) > most:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["key", "n"])
+                        held = []
+        if held:
+            keys, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     return run
 
 
-class Automaton:
-    """Dense next-state and log10 tables over the symbols, for contexts closed under suffix and prefix."""
-
-    def __init__(self, counts: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]], min_gain: float):
-        """counts: for each context length, by context, the next symbols and how often each came."""
-        root_sym, root_n = counts.get(0, {}).get(0, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        root = np.full(256, 0.5)
-        root[root_sym] += root_n
-        total, depth = max(float(root_n.sum()), 1.0), max(counts, default=0)
-        kept: set[tuple[int, int]] = {(0, 0)}
-        for k in range(1, depth + 1):
-            mask = (1 << 8 * (k - 1)) - 1
-            for s, (a, n) in counts[k].items():
-                shorter = counts[k - 1].get(s & mask)
-                if shorter is None:
-                    continue
-                m = n.sum()
-                p, q = n / m, shorter[1][np.searchsorted(shorter[0], a)] / shorter[1].sum()
-                if float((n * np.log(p / q)).sum()) >= min_gain * total:
-                    kept |= {(j, s & ((1 << 8 * j) - 1)) for j in range(1, k + 1)}
-        every = {(j, s >> 8 * (k - j)) for k, s in kept for j in range(k + 1)}
-        order = sorted(every)
-        at = {x: i for i, x in enumerate(order)}
-        prob, self.step = np.empty((len(order), 256)), np.zeros((len(order), 256), np.int32)
-        for i, (k, s) in enumerate(order):  # shorter contexts come first
-            up = at[self._suffix(every, k - 1, s)] if k else None
-            if not k:
-                prob[i] = root / root.sum()
-            elif (k, s) in kept:
-                a, n = counts[k][s]
-                prob[i] = prob[up] * len(a)
-                prob[i, a] += n
-                prob[i] /= n.sum() + len(a)
-            else:
-                prob[i] = prob[up]
-            if k:
-                self.step[i] = self.step[up]
-            for a in range(256):
-                if (k + 1, s << 8 | a) in at:
-                    self.step[i, a] = at[k + 1, s << 8 | a]
-        self.logs = np.log10(prob).astype(np.float32)
-        before = int.from_bytes(bytes([END]) * depth, "big")
-        self.start = at[self._suffix(every, depth, before)]
-        self.step[:, END] = self.start
-        self.depth, self.states, self.retained = depth, len(order), len(kept)
-
-    @staticmethod
-    def _suffix(every, k: int, s: int) -> tuple[int, int]:
-        while (k, s & ((1 << 8 * k) - 1)) not in every:
-            k -= 1
-        return k, s & ((1 << 8 * k) - 1)
-
-    def score(self, stream: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text's symbols."""
-        n, depth = len(stream), self.depth
-        rows = -(-n // _STRIDE)
-        wide = np.full((rows * _STRIDE + depth), END, np.uint8)
-        wide[depth : depth + n] = stream
-        state, logs = np.full(rows, self.start if depth == 0 else 0), np.empty((_STRIDE, rows), np.float32)
-        flat_step, flat_logs, first = self.step.ravel(), self.logs.ravel(), np.arange(rows) * _STRIDE
-        for j in range(_STRIDE + depth):
-            cell = state * 256 + wide[np.minimum(first + j, len(wide) - 1)]
-            if j >= depth:
-                logs[j - depth] = flat_logs[cell]
-            state = flat_step[cell].astype(np.int64)
-        return np.add.reduceat(logs.T.ravel()[:n].astype(np.float64), offs[:-1])
-
-
-def grow_tree(counts: DataFrame, depth: int, min_share: float, min_gain: float) -> Automaton:
-    """The automaton of counts(key, n) over grams: marginal counts of every length, rare contexts left out, then the divergence test."""
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    masks = F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(depth + 1)])
-    by = counts.select(F.posexplode(masks).alias("k", "mask"), "key", "n").groupBy("k", F.col("key").bitwiseAND(F.col("mask")).alias("gram")).agg(F.sum("n").alias("n"))
-    by = written(by.select("k", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n"), "grams")
-    often = by.groupBy("k", "context").agg(F.sum("n").alias("m")).where(F.col("m") >= F.lit(max(min_share * total, 2.0)))
-    got = by.join(often.select("k", "context"), ["k", "context"]).toArrow()
-    k, s, a, n = (got[c].to_numpy().astype(np.int64) for c in ("k", "context", "symbol", "n"))
-    order = np.lexsort((a, s, k))
-    k, s, a, n = k[order], s[order], a[order], n[order]
-    cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])) if len(k) else np.zeros(0, int)
-    out: dict[int, dict] = {j: {} for j in range(depth + 1)}
-    for lo, hi in zip(cut, [*cut[1:], len(k)]):
-        out[int(k[lo])][int(s[lo])] = (a[lo:hi], n[lo:hi])
-    return Automaton(out, min_gain)
-
-
-def _score(tree, common, total: int, kinds: int):
+def _words(stream: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return stream
+
+
+def _pairs(frequent, k: int):
+    """The runs of k symbols and a next one whose two parts of k symbols are frequent, as the parts' places in one number."""
+
+    def found(stream: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        table, run, place = frequent.value, stream, _place(offs)
+        for j in range(1, k):
+            run = _longer(run, place, j)[1]
+        part = table.find(run)
+        before = np.full(len(part), -1, np.int64)
+        before[1:] = part[:-1]
+        before[place == 0] = table.find(np.array([_END]))[0] if k == 1 else -1
+        both = np.flatnonzero((part >= 0) & (before >= 0) & (place >= k - 1))
+        return (before[both] << 32 | part[both]).view(np.uint64)
+
+    return found
+
+
+def grown(frequent: Table, packed: np.ndarray, n: np.ndarray, k: int, gain: float) -> tuple[Table, Table, Table]:
+    """(runs, entries, contexts) of length k: all frequent runs with count and probability, those of retained contexts, and what these leave to their suffixes.
+
+    frequent has the counts and probabilities of the runs one shorter."""
+    context, part = packed >> 32, packed & 0xFFFFFFFF
+    key = tv.mix(frequent.keys[context] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + tv.mix(frequent.keys[part] + np.uint64(k)))
+    q = frequent.values["p"][part]
+    which, at = np.unique(context, return_inverse=True)
+    seen = frequent.values["n"][which].astype(float)
+    add = lambda x: np.bincount(at, weights=x, minlength=len(which))
+    kinds, lower = add(np.ones(len(at))) + 1, np.maximum(1 - add(q), 1e-12)
+    rest = np.maximum(seen - add(n), 0.0)
+    far = add(n * np.log(n / seen[at] / q)) + rest * np.log(np.maximum(rest, 1e-12) / seen / lower)
+    kept = far >= gain
+    p = np.where(kept[at], (n + kinds[at] * q) / (seen + kinds)[at], q)
+    inside = kept[at]
+    left = np.log10((rest + kinds * lower) / (seen + kinds) / lower)
+    return Table(key, n=n, p=p), Table(key[inside], log=np.log10(p[inside])), Table(frequent.keys[which[kept]], log=left[kept])
+
+
+class Tree:
+    """Known words' counts, and for each length the entries and contexts that scoring looks up."""
+
+    def __init__(self, words: Table, total: int, kinds: int, levels: list[tuple[Table, Table]]):
+        self.words, self.levels, self.floor = words, levels, float(np.log10(total + 0.5 * (kinds + 1)))
+
+    def score(self, stream: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of each symbol's root probability and of its probability in its place, and which symbols are unknown here; their root probability is left out of both."""
+        at = self.words.find(stream)
+        if len(self.words):
+            root = np.where(at >= 0, np.log10(self.words.values["n"][at] + 0.5) - self.floor, 0.0)
+        else:
+            root = np.zeros(len(stream))
+        now, run, place = root.copy(), stream, _place(offs)
+        for k, (entries, contexts) in enumerate(self.levels, 1):
+            context, run = _longer(run, place, k)
+            held = contexts.find(context)
+            there = np.flatnonzero(held >= 0)
+            if len(there):
+                entry = entries.find(run[there])
+                now[there] += contexts.values["log"][held[there]]
+                hit = entry >= 0
+                now[there[hit]] = entries.values["log"][entry[hit]]
+        return root, now, at < 0
+
+
+def grow_tree(train: DataFrame, words: DataFrame, total: int, kinds: int, depth: int, share: float, gain: float, sent_words: int) -> Tree:
+    """The tree of train(text), whose words(key, n) are counted already; each length is one more pass."""
+    sc, least = train.sparkSession.sparkContext, max(2.0, share * total ** (2 / 3))
+    got = words.where(F.col("n") >= least).union(commonest(words, sent_words)).distinct().toArrow()
+    keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    often = n >= least
+    frequent = Table(keys[often], n=n[often], p=(n[often] + 0.5) / (total + 0.5 * (kinds + 1)))
+    levels = []
+    for k in range(1, depth + 1):
+        if not len(frequent):
+            break
+        pairs = train.mapInArrow(_counted(_pairs(sc.broadcast(frequent), k)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        pairs = pairs.where(F.col("n") >= least).toArrow().sort_by("key")
+        frequent, *level = grown(frequent, pairs["key"].to_numpy(), pairs["n"].to_numpy(), k, gain * least)
+        levels.append(tuple(level))
+    return Tree(Table(keys, n=n), total, kinds, levels)
+
+
+def _score(tree):
     def run(batches):
-        model, (known, count) = tree.value, common.value
-        floor = np.log10(total + 0.5 * (kinds + 1))
-        logs = np.log10(count + 0.5) - floor
+        model = tree.value
         for batch in batches:
             buf, offsets = tv.text_buffer(batch.column(1))
             ids, held = batch.column(0), batch.column(2)
             for lo, hi in tv.groups(offsets):
                 part = offsets[lo : hi + 1]
-                stream, offs, words, woffs = symbols(buf[part[0] : part[-1]], part - part[0])
-                # each text's end word closes it, so no text is without words
-                all_words, ends = np.insert(words.view(np.int64), woffs[1:], _END_WORD), woffs + np.arange(len(woffs))
-                at = np.minimum(np.searchsorted(known, all_words), max(len(known) - 1, 0))
-                hit = known[at] == all_words if len(known) else np.zeros(len(all_words), bool)
-                worth = np.zeros(len(all_words))
-                worth[hit] = logs[at[hit]]
-                rest = np.concatenate([[0], np.cumsum(~hit)])[ends]
-                lists = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(all_words[~hit]))
+                # each text's end closes it, so no text is without symbols
+                stream, offs = symbols(buf[part[0] : part[-1]], part - part[0])
+                root, now, other = model.score(stream, offs)
+                rest = np.concatenate([[0], np.cumsum(other)])[offs]
+                lists = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(stream[other].view(np.int64)))
+                sums = [np.add.reduceat(x, offs[:-1], dtype=t) for x, t in ((~other, np.int64), (root, np.float64), (now, np.float64))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), held.slice(lo, hi - lo), pa.array(np.diff(ends)), pa.array(np.add.reduceat(hit, ends[:-1], dtype=np.int64)), pa.array(np.add.reduceat(worth, ends[:-1])), pa.array(model.score(stream, offs)), lists],
-                    names=["id", "held_out", "n_tokens", "known", "worth", "score", "rest"],
+                    [ids.slice(lo, hi - lo), held.slice(lo, hi - lo), pa.array(np.diff(offs)), *map(pa.array, sums), lists],
+                    names=["id", "held_out", "n_tokens", "known", "worth", "tree", "rest"],
                 )
 
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN, sent_words: int = SENT_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, share: float = SHARE, gain: float = GAIN, sent_words: int = SENT_WORDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
     Learns from the rows whose crc32(id as text) mod 5 is not 1; a null id is learnt from.
     base_score sums log10((c + 0.5) / (N + 0.5 * (V + 1))) over words and end; score is log10 of
-    the tree's probability of the words, the spaces between them and the end.  A null or blank
-    text has its end alone.  Equal texts score alike.  With no training row the tree is uniform.
-    Repeated rows are scored each; other columns are not read.
+    the tree's probability of the words and the end, each after those before it, a word that training
+    lacks standing for all such words.  A null or blank text has its end alone.  Equal texts score
+    alike.  With no training row every symbol is that one word, of probability 1.
+    Repeated rows are scored each; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col, 1).alias("held_out"))
-    counts = rows.where("not held_out").select("text").mapInArrow(_count(depth), "kind int, key long, n long")
-    counts = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where("kind = 0").select("key", "n")
+    train = rows.where("not held_out").select("text")
+    words = written(train.mapInArrow(_counted(_words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    tree = grow_tree(counts.where("kind = 1").select("key", "n"), depth, min_share, min_gain)
-    got = commonest(words, sent_words).toArrow()
-    known, count = (got[c].to_numpy().astype(np.int64) for c in ("key", "n"))
-    order = np.argsort(known)
-    sc = docs.sparkSession.sparkContext
-    scored = rows.select("id", "text", "held_out").mapInArrow(_score(sc.broadcast(tree), sc.broadcast((known[order], count[order])), total, kinds), rows.select("id", "held_out").schema.add("n_tokens", "long").add("known", "long").add("worth", "double").add("score", "double").add("rest", T.ArrayType(T.LongType())))
+    tree = grow_tree(train, words, total, kinds, depth, share, gain, sent_words)
+    kind = rows.select("id", "held_out").schema.add("n_tokens", "long").add("known", "long").add("worth", "double").add("tree", "double").add("rest", T.ArrayType(T.LongType()))
+    scored = rows.select("id", "text", "held_out").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(tree)), kind)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     c = F.coalesce("n", F.lit(0))
     rest = rest.join(words, "key", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.5) / (F.lit(float(total)) + 0.5 * (kinds + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("some"))
     out = scored.join(rest, "row", "left")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("some", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("worth") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    more = F.coalesce("more", F.lit(0.0))
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("some", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("worth") + more).alias("base_score"), (F.col("tree") + more).alias("score"))

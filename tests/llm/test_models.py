@@ -101,45 +101,84 @@ def test_base_scores(spark):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i, 1), len(words(t)), sum(c[w] > 0 for w in words(t)), n)
             assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t)))
             assert r.score < 0
-    assert by[7001].score == by[7002].score
-
-
-def tree_of(texts, depth, gain):
-    counts = {k: {} for k in range(depth + 1)}
-    seqs = [bytes([10]) * depth + b" ".join(t.lower().split()) + b"\n" for t in texts]
-    for s in seqs:
-        for p in range(depth, len(s)):
-            for k in range(depth + 1):
-                ctx = int.from_bytes(s[p - k : p], "big")
-                counts[k].setdefault(ctx, Counter())[s[p]] += 1
-    return suffix_tree.Automaton({k: {c: (np.array(sorted(n)), np.array([n[a] for a in sorted(n)])) for c, n in d.items()} for k, d in counts.items()}, gain)
-
-
-def test_tree_scores_by_longest_suffixes():
-    texts = [b"abra cadabra", b"abra abra ab", b"", b"Cad  ra", b"x" * 700]
-    tree = tree_of(texts, 3, 1e-4)
-    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)
-    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    stream, soffs, _, _ = suffix_tree.symbols(buf, offs)
-    got = tree.score(stream, soffs)
-    for t, score in zip(texts, got):
-        seq, state, total = b" ".join(t.lower().split()) + b"\n", tree.start, 0.0
-        for a in seq:
-            total += float(tree.logs[state, a])
-            state = tree.step[state, a]
-        assert score == pytest.approx(total, rel=1e-5)
-    # a context that tells more than its suffix is retained, so what was seen scores better than what was not
-    a, b = tree.score(*suffix_tree.symbols(np.frombuffer(b"abra", np.uint8), np.array([0, 4]))[:2]), tree.score(*suffix_tree.symbols(np.frombuffer(b"arba", np.uint8), np.array([0, 4]))[:2])
-    assert a[0] > b[0] and tree.retained > 1
-
-
-def test_grams_match_brute_force():
-    texts = [b"ab c", b"", b"Zed"]
-    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    stream, soffs, words, woffs = suffix_tree.symbols(buf, offs)
-    assert stream.tobytes() == b"ab c\n\nzed\n" and soffs.tolist() == [0, 5, 6, 10] and np.diff(woffs).tolist() == [2, 0, 1]
-    want = [int.from_bytes((b"\n\n" + s)[p : p + 3], "big") for s in (b"ab c\n", b"\n", b"zed\n") for p in range(len(s))]
-    assert suffix_tree.grams(stream, soffs, 2).tolist() == want
+        assert by[7001].score == by[7002].score
+
+
+class PlainTree:
+    """The suffix tree by its definition, over lists of words."""
+
+    def __init__(self, texts, depth, share, gain):
+        self.depth, runs = depth, Counter()
+        for t in texts:
+            seq = [None, *t, None]
+            for i in range(1, len(seq)):
+                for k in range(min(depth, i) + 1):
+                    runs[tuple(seq[i - k : i + 1])] += 1
+        self.words = {r[0]: n for r, n in runs.items() if len(r) == 1}
+        self.total = sum(self.words.values())
+        self.least = max(2.0, share * self.total ** (2 / 3))
+        self.runs = {r: n for r, n in runs.items() if n >= self.least}
+        self.kept = {}
+        for k in range(1, depth + 1):
+            for s in {r[:-1] for r in self.runs if len(r) == k + 1}:
+                nexts = {r[-1]: n for r, n in self.runs.items() if r[:-1] == s}
+                seen, below = self.runs[s], {a: self.p(s[1:], a) for a in nexts}
+                rest, left = seen - sum(nexts.values()), 1 - sum(below.values())
+                far = sum(n * math.log(n / seen / below[a]) for a, n in nexts.items())
+                far += rest * math.log(rest / seen / left) if rest else 0.0
+                if far >= gain * self.least:
+                    self.kept[s] = (nexts, seen, rest, left, len(nexts) + 1)
+
+    def p(self, context, a):
+        """By the longest retained suffix of the context."""
+        if not context:
+            return (self.words.get(a, 0) + 0.5) / (self.total + 0.5 * (len(self.words) + 1))
+        if context not in self.kept:
+            return self.p(context[1:], a)
+        nexts, seen, rest, left, kinds = self.kept[context]
+        below = self.p(context[1:], a)
+        return (nexts[a] + kinds * below) / (seen + kinds) if a in nexts else (rest + kinds * left) / (seen + kinds) / left * below
+
+    def score(self, words):
+        seq = [None, *words, None]
+        return sum(math.log10(self.p(tuple(seq[max(i - self.depth, 0) : i]), seq[i])) for i in range(1, len(seq)))
+
+
+def phrases(n, seed=2):
+    """Texts of phrases that come again and again, some words between them."""
+    draw = random.Random(seed)
+    vocab = [f"w{i}" for i in range(60)]
+    stock = [[draw.choice(vocab) for _ in range(draw.randrange(2, 6))] for _ in range(25)]
+    return [sum((draw.choice(stock) if draw.random() < 0.7 else [draw.choice(vocab), f"rare{draw.randrange(900)}"] for _ in range(draw.randrange(9))), []) for _ in range(n)]
+
+
+@pytest.mark.parametrize("depth,share,gain", [(3, 4e-4, 0.5), (2, 0.02, 0.1), (1, 0.0, 3.0), (0, 0.0, 1.0)])
+def test_tree_matches_its_definition(spark, depth, share, gain):
+    texts = [*phrases(300), [], ["once"], ["w1"] * 50]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    plain = PlainTree([t for i, t in enumerate(texts) if not held(i, 1)], depth, share, gain)
+    got = suffix_tree.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, share=share, gain=gain, sent_words=20).collect()
+    assert depth == 0 or plain.kept
+    for r in got:
+        assert r.score == pytest.approx(plain.score(texts[r.doc_id]), rel=1e-9), r
+    # a proper distribution after any context: of all known symbols and of the one for all others
+    for context in [(), *list(plain.kept)[:40], ("w1", "w2"), ("rare1",)]:
+        assert sum(plain.p(context, a) for a in [*plain.words, "not there"]) == pytest.approx(1)
+
+
+def test_tree_beats_word_counts_on_held_out_texts_and_grows(spark):
+    states = []
+    for n in (300, 3000):
+        rows = [(i, " ".join(t)) for i, t in enumerate(phrases(n))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        out = [r for r in suffix_tree.lm_scores(docs).collect() if r.held_out and r.n_tokens > 1]
+        assert sum(r.score > r.base_score for r in out) >= 0.9 * len(out) and sum(r.score for r in out) > sum(r.base_score for r in out)
+        words = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1").select("text")
+        counts = words.mapInArrow(suffix_tree._counted(suffix_tree._words), "key long, n long").groupBy("key").sum("n").toDF("key", "n")
+        total, kinds = counts.selectExpr("sum(n)", "count(*)").head()
+        tree = suffix_tree.grow_tree(words, counts, total, kinds, 3, 0.02, 0.5, 100)
+        states.append(sum(len(entries) for entries, _ in tree.levels))
+    assert states[1] > states[0]
 
 
 def test_word_hashes_do_not_depend_on_place():
