@@ -246,15 +246,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(rows.mapInArrow(_signatures(k, bands, width), _SIG), "sigs")
     same = ["n_shingles", "h1", "h2"]
     linkable = sigs.where("n_shingles > 0 and id is not null")
-    classes = linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
-    # each row becomes bands**2 keys: as many tasks as those ask for, not as many as these rows do
-    classes = written(classes.repartition(-(-sigs.count() // ROWS_AT_ONCE) or 1, "rep"), "classes")
+    classes = written(linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     # One id may carry several texts: then its classes meet through links of their own.
     twice = linkable.select("id", *same).distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     more = linkable.join(twice, "id").join(classes.select("rep", *same), same).select(F.col("id").alias("u"), F.col("rep").alias("v")).where("u <> v")
 
     table = F.transform("a", lambda p, i: F.transform("b", lambda q, j: F.xxhash64(p, q, i * bands + j)))
-    keys = classes.select("rep", F.explode(F.flatten(table)).alias("key"))
+    # each row becomes bands**2 keys: as many tasks as those ask for, not as many as these rows do
+    keys = classes.repartition(-(-classes.count() // ROWS_AT_ONCE) or 1, "rep").select("rep", F.explode(F.flatten(table)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = written(keys.join(shared, "key"), "met")
     central = met.groupBy("rep").agg(F.sum("c").alias("weight"))
