@@ -101,15 +101,15 @@ def communities(nodes: list, pairs: list, resolution: float = 1.0, seed: int = 4
         weight, units = joined, sorted(set(group.values()))
 
 
-def schedule(times: dict, deps: dict, cores: int, pool_of: dict | None = None, pool_depth: dict | None = None) -> list[tuple]:
+def schedule(times: dict, deps: dict, cores: int, pool_of: dict | None = None, pool_depth: dict | None = None, phony: set | frozenset = frozenset()) -> list[tuple]:
     """(target, start, end, core) of a list schedule.
 
     A target is ready when its dependencies have finished; ready ones are committed at once, the
-    heaviest first (weight: own time plus the heaviest dependency's weight; ties by name), to the
-    core that is free first.  A pool holds at most its depth of targets from commit to finish."""
+    heaviest first (weight: the targets, phony ones apart, on the longest chain of dependencies; ties
+    by name), to the core that is free first.  A pool holds at most its depth of targets from commit to finish."""
     weight: dict = {}
     for n in order(list(times), deps):
-        weight[n] = times[n] + max((weight[d] for d in deps.get(n, ())), default=0)
+        weight[n] = (n not in phony) + max((weight[d] for d in deps.get(n, ())), default=0)
     users, left = defaultdict(list), {}
     for n in times:
         left[n] = len(deps.get(n, ()))

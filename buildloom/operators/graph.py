@@ -23,15 +23,19 @@ FEW_EDGES = 200_000
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs with a path, but a node with itself; each round joins what is new with the edges."""
-    e = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    total = new = e
+    """(src, dst) of all pairs with a path, but a node with itself.
+
+    Each round doubles the length of the paths that are known: what the last round found is joined
+    with all that is known, so rounds grow with the logarithm of the depth, and each writes only
+    what it found."""
+    new = written(edges.select("src", "dst").where("src <> dst").distinct(), "closure")
+    total = new
     while True:
-        step = new.withColumnRenamed("dst", "mid").join(e.withColumnRenamed("src", "mid"), "mid").select("src", "dst").where("src <> dst").distinct()
-        new = written(step.join(total, ["src", "dst"], "left_anti"), "new")
+        step = new.withColumnRenamed("dst", "mid").join(total.withColumnRenamed("src", "mid"), "mid").select("src", "dst").where("src <> dst").distinct()
+        new = written(step.join(total, ["src", "dst"], "left_anti"), "closure")
         if new.isEmpty():
             return total
-        total = written(total.union(new), "closure")
+        total = total.union(new)
 
 
 def longest(nodes: DataFrame, edges: DataFrame, cost: str | None = None, few: int = FEW_EDGES) -> DataFrame:
@@ -132,20 +136,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, weight: str | None = None) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; nodes without a way out spread their rank evenly."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, weight: str | None = None, tolerance: float | None = 1e-6) -> DataFrame:
+    """(node, rank) once the ranks' changes add up to less than tolerance times the nodes, or after so many rounds; nodes without a way out spread their rank evenly.
+
+    Every round is written, so no round is worked out twice."""
     n = nodes.count()
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.select("src", "dst", w.alias("w"))
     e = written(e.join(e.groupBy("src").agg(F.sum("w").alias("s")), "src").select("src", "dst", (F.col("w") / F.col("s")).alias("w")), "ways")
     sources = written(e.select(F.col("src").alias("node")).distinct(), "sources")
-    rank = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(rounds):
+    rank = written(nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank")), "rank")
+    for _ in range(rounds):
         loose = rank.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         into = rank.join(e.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("in"))
-        rank = nodes.select("node").join(into, "node", "left").crossJoin(F.broadcast(loose)).select("node", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % 5 == 4 or k == rounds - 1:
-            rank = written(rank, "rank")
+        new = rank.join(into, "node", "left").crossJoin(F.broadcast(loose))  # one row
+        new = written(new.select("node", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)).alias("rank")), "rank")
+        rank = new.select("node", "rank")
+        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0] or 0.0) < n * tolerance:
+            break
     return rank
 
 
@@ -237,19 +245,94 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select(((F.col("s") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected)).alias("ari"), (F.col("mi") / ((F.col("ha") + F.col("hb")) / 2)).alias("nmi"))
 
 
-def simulate(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, cost: str = "ms") -> DataFrame:
-    """(scenario, node, start_ms, end_ms, core) of a list schedule for each scenario(scenario, cores); scenarios run side by side."""
+#: kinds of targets that take no part in a chain's weight, and those that are linked
+PHONY, LINKED = ("interface_library", "custom_target"), ("executable", "shared_library", "module_library")
+
+
+def chain_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, weight): how many nodes that are no phony kind the longest chain of dependencies from a node has, itself included."""
+    kind = nodes.columns
+    own = F.when(F.col("kind").isin(*PHONY), 0).otherwise(1) if "kind" in kind else F.lit(1)
+    return longest(nodes.select("node", own.alias("own")), edges, "own").select("node", F.col("finish").alias("weight"))
+
+
+def pools(nodes: DataFrame, link_depth: int) -> DataFrame:
+    """(node, pool): the nodes' own pool column, or link_pool for linked kinds if that has a depth; default for the rest."""
+    if "pool" in nodes.columns:
+        return nodes.select("node", F.coalesce("pool", F.lit("default")).alias("pool"))
+    linked = F.col("kind").isin(*LINKED) if "kind" in nodes.columns and link_depth > 0 else F.lit(False)
+    return nodes.select("node", F.when(linked, "link_pool").otherwise("default").alias("pool"))
+
+
+def with_dependencies(nodes: DataFrame, edges: DataFrame, seed: DataFrame, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes of seed(node) and all that they depend on, and the edges among these."""
+    pairs = closure(edges) if pairs is None else pairs
+    inside = written(seed.select("node").union(pairs.join(seed.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))).distinct(), "inside")
+    left = edges.join(inside.select(F.col("node").alias("src")), "src", "left_semi").join(inside.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return nodes.join(inside, "node", "left_semi"), left.select(*edges.columns)
+
+
+def simulate(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, cost: str = "ms", target=None, scope: DataFrame | None = None) -> DataFrame:
+    """(scenario, node, start_ms, end_ms, core) of a list schedule for each scenario(scenario, cores, and link_depth if links are pooled); scenarios run side by side.
+
+    With a target, it and its dependencies alone are built; with a scope(node), its nodes.  Both at
+    once raise ValueError, an unknown target KeyError."""
+    if target is not None and scope is not None:
+        raise ValueError("a target and a scope exclude each other")
+    if target is not None:
+        seed = nodes.where(F.col("node") == target).select("node")
+        if seed.isEmpty():
+            raise KeyError(target)
+        nodes, edges = with_dependencies(nodes, edges, seed)
+    if scope is not None:
+        nodes, edges = nodes.join(scope.select("node").distinct(), "node", "left_semi"), edges
     spark = nodes.sparkSession
+    kind = F.col("kind") if "kind" in nodes.columns else F.lit(None).cast("string")
+    pool = F.col("pool") if "pool" in nodes.columns else F.lit(None).cast("string")
+    rows = nodes.select("node", F.coalesce(cost, F.lit(0)).cast("long"), kind, pool).collect()
+    times = {r[0]: r[1] for r in rows}
     deps = defaultdict(list)
     for a, b in _adjacency(edges.select("src", "dst").distinct()):
-        deps[a].append(b)
-    times = {r[0]: int(r[1] or 0) for r in nodes.select("node", cost).collect()}
-    held = spark.sparkContext.broadcast((times, dict(deps)))
+        if a in times and b in times:
+            deps[a].append(b)
+    phony = {r[0] for r in rows if r[2] in PHONY}
+    named = {r[0]: r[3] for r in rows if r[3] is not None}
+    links = named if "pool" in nodes.columns else {r[0]: "link_pool" for r in rows if r[2] in LINKED}
+    held = spark.sparkContext.broadcast((times, dict(deps), phony, links))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, deps = held.value
-        out = [(pdf["scenario"].iloc[0], *r) for r in kernels.schedule(times, deps, int(pdf["cores"].iloc[0]))]
-        return pd.DataFrame(out, columns=["scenario", "node", "start_ms", "end_ms", "core"])
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    return scenarios.groupBy("scenario").applyInPandas(one, f"scenario string, node {kind}, start_ms long, end_ms long, core int")
+        times, deps, phony, links = held.value
+        depth = int(pdf["link_depth"].iloc[0]) if "link_depth" in pdf else 0
+        plan = kernels.schedule(times, deps, int(pdf["cores"].iloc[0]), links, {"link_pool": depth} if depth > 0 else {}, phony)
+        return pd.DataFrame([(pdf["scenario"].iloc[0], *r) for r in plan], columns=["scenario", "node", "start_ms", "end_ms", "core"])
+
+    name = nodes.schema["node"].dataType.simpleString()
+    return scenarios.groupBy("scenario").applyInPandas(one, f"scenario string, node {name}, start_ms long, end_ms long, core int")
+
+
+def lengths_without(nodes: DataFrame, edges: DataFrame, asked: DataFrame, cost: str = "ms") -> DataFrame:
+    """(src, dst, length_ms, without_ms) of the asked(src, dst) edges: the longest chain with all edges, and without that one.
+
+    Chains go from a root down to a leaf, and levels fall along them, so a chain passes from the level
+    of src or more to less just once.  Without the edge, the longest chain is that of another edge
+    that passes there, one that ends in src, or one that lies below; the two best passing edges of
+    each asked level tell."""
+    at = longest(nodes, edges, cost)
+    up = longest(nodes, reverse(edges), cost).select("node", F.col("finish").alias("tail"))
+    at = written(at.join(up, "node"), "levels")
+    total = at.agg(F.max("finish").alias("length_ms"))
+    a = at.select(F.col("node").alias("src"), F.col("level").alias("la"), F.col("tail").alias("ta"))
+    b = at.select(F.col("node").alias("dst"), F.col("level").alias("lb"), F.col("finish").alias("fb"))
+    e = written(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").withColumn("long", F.col("ta") + F.col("fb")), "chains")
+    asked = written(e.join(asked.select("src", "dst").distinct(), ["src", "dst"], "left_semi"), "asked")
+    cuts = asked.select(F.col("la").alias("cut")).distinct()
+    passing = e.select("src", "dst", "long", F.explode(F.sequence(F.col("lb") + 1, F.col("la"))).alias("cut")).join(cuts, "cut", "left_semi")
+    # two best by level: the best chain, then the best of the edges other than its first
+    best = passing.groupBy("cut").agg(F.max(F.struct("long", "src", "dst")).alias("top"))
+    second = passing.join(best, "cut").where((F.col("src") != F.col("top.src")) | (F.col("dst") != F.col("top.dst"))).groupBy("cut").agg(F.max("long").alias("next"))
+    by_level = at.groupBy("level").agg(F.max("finish").alias("best"))
+    below = cuts.join(by_level, by_level["level"] < cuts["cut"]).groupBy("cut").agg(F.max("best").alias("below"))
+    out = asked.withColumn("cut", F.col("la")).join(best, "cut").join(second, "cut", "left").join(below, "cut", "left").crossJoin(F.broadcast(total))
+    own = (F.col("src") == F.col("top.src")) & (F.col("dst") == F.col("top.dst"))
+    rest = F.when(own, F.col("next")).otherwise(F.col("top.long"))
+    return out.select("src", "dst", "length_ms", F.greatest(rest, "ta", "below").alias("without_ms"))

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import minmax
 from ..operators import clusters as cl
@@ -14,35 +10,12 @@ from ..operators import graph as g
 from ..operators import history as h
 from ..operators import metrics as m
 from ..operators import recommend as rc
-from ..sources import views as v
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .registry import CLOSURE, QUERIES, SQL, query
 
 # Module patterns over paths, in order.
 PATTERNS = [("blue", "blue*"), ("hot", "hot *"), ("rings", "*ring"), ("small", "s[m]all ?*")]
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, without negative zeros."""
-    return df.select(*(F.round(f.name, 6).alias(f.name) + F.lit(0.0) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields)).toDF(*df.columns)
-
-
-def query(sql: str | None = None, views: tuple[str, ...] = (), recursive: bool = False):
-    """Registers a function of views, in their order, as a query; sql reads the same views."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(f(*(v.view(spark, sf_dir, n) for n in views)))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql if sql.startswith("with") else v.ctes(*views, recursive=recursive) + ("," if sql.lstrip().startswith(">") else "") + "\n" + sql.lstrip().removeprefix(">")
-        return f
-
-    return add
-
-
 LOG, FILES, EDGES, NODES = "commit_log", "file_metrics", "edges", "nodes"
 
 
@@ -265,7 +238,7 @@ def generated_fraction(files):
 
 # --- graphs
 
-_CL = ">c(src, dst) as (select src, dst from edges union select c.src, e.dst from c join edges e on e.src = c.dst)"
+_CL = CLOSURE
 
 
 @query(_CL + """, o as (select src, count(*) n from c group by 1), i as (select dst, count(*) n from c group by 1), od as (select src, count(*) n from edges group by 1), id as (select dst, count(*) n from edges group by 1)
@@ -523,6 +496,9 @@ def contributor_factors(log, files):
     return cl.factor_groups(h.contributor_matrix(log.join(files.select("file_id", "target"), "file_id"), "target", 10, 5), "target", "contributor", "n", 3, 5)
 
 
+from . import consolidation, includes, readers, scenarios, snapshots, sharing  # noqa: E402, F401  register theirs
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
