@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -123,6 +123,50 @@ def rebuild_cost(nodes: DataFrame, edges: DataFrame, cost: str = "ms", pairs: Da
     return nodes.join(more, "node", "left").select("node", (F.coalesce(cost, F.lit(0)) + F.coalesce("more", F.lit(0))).alias("rebuild_ms"))
 
 
+def with_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes, and the ends of edges that are not among them, their other columns null."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
+    return nodes.unionByName(ends, allowMissingColumns=True)
+
+
+def build_graph(nodes: DataFrame, edges: DataFrame, direct_only: bool = True, acyclic: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a dependency graph: direct edges alone unless asked otherwise, each once, ends that are no known node added; a cycle raises ValueError."""
+    kept = edges.where("is_direct") if direct_only and "is_direct" in edges.columns else edges
+    kept = kept.dropDuplicates(["src", "dst"])
+    nodes = with_endpoints(nodes, kept)
+    if acyclic and not is_acyclic(nodes, kept):
+        raise ValueError("the dependency graph has a cycle")
+    return nodes, kept
+
+
+def is_acyclic(nodes: DataFrame, edges: DataFrame) -> bool:
+    try:
+        longest(nodes, edges).count()
+        return True
+    except Exception as e:  # the cycle is found where the chains are followed, in a task or here
+        if "has a cycle" not in str(e):
+            raise
+        return False
+
+
+def centrality(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
+    """(node, in_degree, out_degree, betweenness, pagerank)."""
+    return degrees(nodes, edges).join(betweenness(nodes, edges), "node").join(pagerank(nodes, edges, **how).withColumnRenamed("rank", "pagerank"), "node")
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: size, density, kinds, depth and degrees of a graph of nodes(node, kind); depth is null where there is a cycle."""
+    acyclic = is_acyclic(nodes, edges)
+    d = degrees(nodes, edges).join(nodes.select("node", "kind"), "node")
+    n, m = F.count("*"), F.sum("out_degree")
+    out = d.agg(
+        n.alias("nodes"), m.alias("edges"), F.when(n > 1, m / (n * (n - 1.0))).otherwise(0.0).alias("density"), F.count_if(F.col("kind") == "executable").alias("executables"), F.count_if(F.contains("kind", F.lit("library"))).alias("libraries"),
+        F.avg("in_degree").alias("mean_in"), F.avg("out_degree").alias("mean_out"), F.max("in_degree").alias("max_in"), F.max("out_degree").alias("max_out"),
+    )
+    deep = longest(nodes, edges).agg(F.max("level").cast("long").alias("max_depth")) if acyclic else nodes.limit(0).agg(F.max(F.lit(0)).cast("long").alias("max_depth"))
+    return out.crossJoin(F.broadcast(deep)).withColumn("is_dag", F.lit(acyclic))  # one row
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable when direction is ignored."""
     both = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "links")

@@ -29,9 +29,47 @@ def split_interventions(nodes: DataFrame, edges: DataFrame, files: DataFrame, to
 
 
 def without_edge(nodes: DataFrame, edges: DataFrame, src, dst) -> int:
-    """How much shorter the longest chain is without one edge."""
-    rest = edges.where(~((F.col("src") == src) & (F.col("dst") == dst)))
-    return g.length(nodes, edges) - g.length(nodes, rest)
+    """How much shorter the longest chain is without one edge; 0 for an edge that is not there."""
+    row = g.lengths_without(nodes, edges, edges.where((F.col("src") == src) & (F.col("dst") == dst))).head()
+    return row["length_ms"] - row["without_ms"] if row else 0
+
+
+def reduced(nodes: DataFrame, percent: float, which, cost: str = "ms") -> DataFrame:
+    """nodes with the cost of those for which `which` holds cut by so many percent, rounded down."""
+    return nodes.withColumn(cost, F.when(which, F.floor(F.col(cost) * (1 - percent / 100)).cast("long")).otherwise(F.col(cost)))
+
+
+def whatif_reduce(nodes: DataFrame, edges: DataFrame, target, percent: float) -> DataFrame:
+    """One row: the longest chain before and after one target's time is cut; KeyError if there is no such target."""
+    if nodes.where(F.col("node") == target).isEmpty():
+        raise KeyError(target)
+    before = g.longest(nodes, edges, "ms").agg(F.max("finish").alias("before_ms"))
+    after = g.longest(reduced(nodes, percent, F.col("node") == target), edges, "ms").agg(F.max("finish").alias("after_ms"))
+    return before.crossJoin(F.broadcast(after)).withColumn("saved_ms", F.col("before_ms") - F.col("after_ms"))  # one row each
+
+
+def dependency_interventions(nodes: DataFrame, edges: DataFrame, files: DataFrame, top: int = 20) -> DataFrame:
+    """Edges worth removing or narrowing: on the critical path or PUBLIC, and the longest chain is shorter without them.
+
+    edges(src, dst, visibility), files(node, files).  All candidates are weighed in one plan.  An edge
+    that saves nothing is no candidate, the largest saving comes first, ties by the edge."""
+    critical = g.critical_path(nodes, edges).where("critical").select("node")
+    here = lambda c, flag: critical.select(F.col("node").alias(c), F.lit(True).alias(flag))
+    rows = edges.select("src", "dst", (F.col("visibility") == "PUBLIC").alias("public")).join(here("src", "a"), "src", "left").join(here("dst", "b"), "dst", "left")
+    rows = rows.withColumn("on_path", F.coalesce(F.col("a") & F.col("b"), F.lit(False))).where("on_path or public")
+    saved = g.lengths_without(nodes, edges, rows).select("src", "dst", (F.col("length_ms") - F.col("without_ms")).alias("impact")).where("impact > 0")
+    best = saved.join(rows, ["src", "dst"]).orderBy(F.desc("impact"), "src", "dst").limit(top).join(files.select(F.col("node").alias("src"), "files"), "src", "left")
+    return best.select(F.when(F.col("public"), "narrow_visibility").otherwise("remove_dependency").alias("type"), "src", "dst", "impact", _clamp(F.greatest(F.coalesce("files", F.lit(1)), F.lit(1)) * 0.1, 0.5, 10.0).alias("effort"), F.when(F.col("on_path"), 0.7).otherwise(0.6).alias("confidence"))
+
+
+def priorities(centrality: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, priority): betweenness times the logarithm of the build time."""
+    return centrality.select("node", "betweenness").join(nodes.select("node", "ms"), "node").select("node", (F.col("betweenness") * F.log1p(F.col("ms").cast("double"))).alias("priority"))
+
+
+def low_containment(modules: DataFrame, most: float = 0.5, top: int = 5) -> DataFrame:
+    """The first modules, by name, with less than `most` of their dependencies inside."""
+    return modules.where(F.col("self_containment") < most).orderBy("module").limit(top).select(F.lit("restructure_module").alias("type"), F.col("module").alias("item"), "self_containment")
 
 
 def frontier(interventions: DataFrame) -> DataFrame:
@@ -53,8 +91,44 @@ def dependants(nodes: DataFrame, pairs: DataFrame, edges: DataFrame, target) ->
     return rows.select("node", F.when(F.col("d"), "direct").otherwise("transitive").alias("relation"), "ms").orderBy("relation", F.desc("ms"), "node")
 
 
+def merges(groups: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(group, targets, before_ms, after_ms, savings_ms, inter_edges) of merging each of groups(group, ord, node).
+
+    One archive and link step stays, that of the first target; targets(node, total_ms, archive_ms, link_ms).
+    inter_edges counts the dependencies inside a group."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    w = Window.partitionBy("group").orderBy("ord")
+    rows = groups.join(targets, "node", "left").withColumn("k", F.row_number().over(w))
+    out = rows.groupBy("group").agg(F.count("*").alias("targets"), F.sum(n("total_ms")).alias("before_ms"), F.sum(F.when(F.col("k") > 1, n("archive_ms") + n("link_ms")).otherwise(0)).alias("savings_ms"))
+    inside = groups.select("group", F.col("node").alias("src")).distinct().join(edges.select("src", "dst").distinct(), "src").join(groups.select("group", F.col("node").alias("dst")).distinct(), ["group", "dst"], "left_semi")
+    out = out.join(inside.groupBy("group").agg(F.count("*").alias("inter_edges")), "group", "left")
+    return out.select("group", "targets", "before_ms", (F.col("before_ms") - F.col("savings_ms")).alias("after_ms"), "savings_ms", n("inter_edges").alias("inter_edges"))
+
+
 def merge_saving(targets: DataFrame) -> DataFrame:
     """One row: what merging targets(ord, archive_ms, link_ms) saves, the archive and link time of all but the first."""
     w = Window.orderBy("ord")  # the few targets to merge
     rest = targets.withColumn("k", F.row_number().over(w)).where("k > 1")
     return rest.agg(F.coalesce(F.sum(F.coalesce("archive_ms", F.lit(0)) + F.coalesce("link_ms", F.lit(0))), F.lit(0)).alias("saved_ms"), (F.count("*") + 1).alias("targets"))
+
+
+def merge_candidates(targets: DataFrame, edges: DataFrame, quantile: float = 0.25, seeds: int = 50) -> DataFrame:
+    """Pairs of small targets, one of which needs the other, that merging would save something for.
+
+    Small ones take less than the quantile of all total times; the first of them, by name, are the seeds."""
+    limit = targets.agg(F.percentile("total_ms", quantile).alias("limit"))
+    small = targets.crossJoin(F.broadcast(limit)).where("total_ms < limit").select("node")  # one row
+    first = small.orderBy("node").limit(seeds)
+    pairs = edges.select("src", "dst").distinct().join(first.select(F.col("node").alias("src")), "src", "left_semi").join(small.select(F.col("node").alias("dst")), "dst", "left_semi")
+    group = F.struct("src", "dst").alias("group")
+    both = pairs.select(group, F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.col("src").alias("node")), F.struct(F.lit(2).alias("ord"), F.col("dst").alias("node")))).alias("x")).select("group", "x.*")
+    return merges(both, targets, edges).where("savings_ms > 0").select("group.src", "group.dst", "before_ms", "after_ms", "savings_ms", "inter_edges")
+
+
+def splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
+    """(node, partition, partition_files, partitions, cross_edges, total_ms, files): each part of targets to be split, by groups(node, partition, file).
+
+    Splitting into n parts takes n - 1 new dependencies at least; the target's figures are those before."""
+    parts = groups.groupBy("node", "partition").agg(F.count("file").alias("partition_files"))
+    n = F.count("*").over(Window.partitionBy("node"))
+    return parts.withColumn("partitions", n).withColumn("cross_edges", F.col("partitions") - 1).join(targets.select("node", "total_ms", "files"), "node", "left").na.fill(0, ["total_ms", "files"])

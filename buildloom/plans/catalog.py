@@ -300,23 +300,6 @@ def graph_summary(edges, nodes):
     return d.agg(F.count("*").alias("nodes"), F.sum("out_degree").alias("edges"), (F.sum("out_degree") / (F.count("*") * (F.count("*") - 1.0))).alias("density"), F.max("out_degree").alias("max_out"), F.max("in_degree").alias("max_in"))
 
 
-@query(""">w as (select src, dst, 1.0 / count(*) over (partition by src) as w from edges), n as (select count(*) n from nodes),
- r(k, node, rank) as (select 0, node, 1.0 / n from nodes, n union all
- select k + 1, node, 0.15 / n + 0.85 * (coalesce(into_, 0) + loose / n) from (
-   select x.k, x.node, n.n, (select sum(r2.rank * w.w) from r r2 join w on w.src = r2.node where w.dst = x.node) as into_, (select coalesce(sum(r3.rank), 0) from r r3 where r3.node not in (select src from edges)) as loose from r x, n) where k < 20)
- select node, round(rank, 6) as rank from r where k = 20""", (EDGES, NODES), recursive=True)
-def pagerank(edges, nodes):
-    return g.pagerank(nodes, edges)
-
-
-del SQL["pagerank"]  # too slow as SQL; tests hold it against the definition
-
-
-@query(None, (EDGES, NODES))
-def betweenness(edges, nodes):
-    return g.betweenness(nodes, edges)
-
-
 @query(None, (EDGES, NODES))
 def louvain(edges, nodes):
     return g.communities(nodes, edges)
@@ -414,22 +397,6 @@ def header_impact(edges, files):
     return files.join(fan, "file_id", "left").select("file_id", (F.coalesce("n", F.lit(0)) * F.col("size") * (1.0 + F.col("commits"))).alias("impact"))
 
 
-@query(_CL + """, t as (select f.target, c.dst header, count(distinct f.file_id) users from files f join c on c.src = f.file_id group by 1, 2 having count(distinct f.file_id) > 1), k as (select target, count(*) files from files group by 1),
- x as (select t.target, header, users / files coverage, m.size, m.commits from t join k using (target) join file_metrics m on m.file_id = header),
- s as (select target, header, coverage * size / nullif(max(size) over (partition by target), 0) * (1 - commits / nullif(greatest(max(commits) over (partition by target), 1), 0)) score, coverage from x)
- select target, header, round(coverage, 6) coverage, round(score, 6) score from s""", (EDGES, "files", FILES), recursive=True)
-def pch_candidates(edges, files, metrics):
-    from pyspark.sql import Window
-
-    used = files.select("target", "file_id").join(g.closure(edges).withColumnRenamed("src", "file_id"), "file_id")
-    t = used.groupBy("target", F.col("dst").alias("header")).agg(F.countDistinct("file_id").alias("users")).where("users > 1")
-    k = files.groupBy("target").agg(F.count("*").alias("files"))
-    x = t.join(k, "target").join(metrics.select(F.col("file_id").alias("header"), "size", "commits"), "header").withColumn("coverage", F.col("users") / F.col("files"))
-    w = Window.partitionBy("target")
-    score = F.col("coverage") * F.try_divide(F.col("size"), F.max("size").over(w)) * (1 - F.col("commits") / F.greatest(F.max("commits").over(w), F.lit(1)))
-    return x.select("target", "header", "coverage", score.alias("score"))
-
-
 # --- snapshots
 
 
