@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,11 +14,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where the session names none."""
+    """The session's checkpoint folder.  A local session that names none gets a folder of its own, removed when Python ends; on a cluster that is an error, as its machines share no such folder."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if not now.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="buildloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="buildloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         now = sc._jsc.sc().getCheckpointDir()
     return now.get()
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CHAIN = 2
+#: stretches of as many rows each that keys are dealt into first
+QUANTILES = 128
 
 # The commonest words of English, German, French and Spanish.
 COMMON = """
@@ -77,13 +79,19 @@ def with_next(rows: DataFrame, key: str, first: str, columns: dict[str, Column]
     """rows, with columns added, and next_<column> of the following row in ascending order of the key (after the last: the first).
 
     Null keys come first; rows of one key follow each other by `first`.  Keys are dealt into about
-    4 * sqrt(rows) ranges by percentiles' ends, each range is sorted by itself, and the first row
-    of each range is also lent to the range before it; no task sees all rows."""
-    n, low, high = rows.agg(F.count("*"), F.percentile_approx(key, 0.001), F.percentile_approx(key, 0.999)).head()
-    ranges = max(1, math.isqrt(16 * n))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
+    4 * sqrt(rows) ranges: `QUANTILES` stretches of as many rows each, as the keys lie, and equal widths
+    within a stretch.  Each range is sorted by itself, and the first row of each range is also lent
+    to the range before it; no task sees all rows."""
+    ends = [i / QUANTILES for i in range(QUANTILES + 1)]
+    n, marks = rows.agg(F.count("*"), F.percentile_approx(key, ends, 10_000)).head()
+    marks = sorted(set(marks or [0]))
+    inside = max(1, -(-math.isqrt(16 * n) // QUANTILES))
     at = F.col(key).cast("decimal(20,0)")
-    place = F.when(at.isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), F.least(F.lit(ranges), F.floor((at - F.lit(low or 0)) / F.lit(width)).cast("int"))))
+    marked = F.array(*(F.lit(int(x)).cast("decimal(20,0)") for x in marks))
+    stretch = F.greatest(F.size(F.filter(marked, lambda x: x <= at)), F.lit(1))
+    low, high = F.element_at(marked, stretch), F.element_at(marked, F.least(stretch + 1, F.lit(len(marks))))
+    step = F.when(high > low, F.floor((at - low).cast("double") * inside / (high - low).cast("double"))).otherwise(0)
+    place = F.when(at.isNull(), F.lit(-1)).otherwise(stretch * inside + F.greatest(F.lit(0), F.least(step, F.lit(inside - 1)))).cast("int")
     rows = rows.withColumn("__range", place)
     order = [F.col(key).asc_nulls_first(), F.col(first).asc_nulls_first()]
     least = rows.groupBy("__range").agg(F.min(key).alias("__least"))
@@ -112,7 +120,9 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Each document's fingerprint beside those of an edited text and of the next document.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or
-    all) of the next document in ascending id order (after the last: the first; a lone one: its own)."""
+    all) of the next document in ascending id order (after the last: the first; a lone one: its own).
+    Null texts count as empty; null ids come first, and rows of one id follow each other by their
+    text; an empty table gives an empty result; other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_next(rows, "id", "text", {"sigs": signatures(F.col("text"), chain)})
     n = F.char_length("text")

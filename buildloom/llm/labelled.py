@@ -12,10 +12,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     """(id, text, y) of at most `most` labelled documents, chosen by a hash of the id.
 
     Rows whose crc32(id as text) mod 5 is 0 are never taken, nor are null labels or ids; of
-    several labels for one id the largest counts.  The chosen ids, `most` at the most, are
-    broadcast, so that no text moves but the sample's."""
+    several labels for one id the largest counts, of several texts the first in order.  The chosen
+    ids, `most` at the most, are broadcast, so that no text moves but the sample's."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 0))
     chosen = chosen.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    return rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")

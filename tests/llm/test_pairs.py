@@ -152,3 +152,30 @@ def test_signatures_and_alike_sets(spark):
     reps = sorted(set(rep.values()))
     close = {(a, b) for a in reps for b in reps if a < b and len(want[a] & want[b]) >= 0.8 * len(want[a] | want[b])}
     assert {(r.a, r.b) for r in pairs.collect()} == close and close
+
+
+def test_next_over_clusters_of_ids(spark):
+    # ids in two far clusters: the ranges follow the rows, not the width of the ids
+    ids = [*range(0, 3000), *range(10**12, 10**12 + 3000), -(2**62), 2**62]
+    docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    order = sorted(ids)
+    got = fp.with_next(docs, "doc_id", "text")
+    assert {r.doc_id: r.next_text for r in got.collect()} == {a: str(b) for a, b in zip(order, order[1:] + order[:1])}
+
+
+def test_likeness_and_order_with_nulls_and_repeats(spark):
+    texts = [(None, "the cat of a dog in the sun"), (2, "the cat of a dog in the moon"), (2, "and so on to an end"), (5, None), (9, "the cat of a dog in the sun " * 40)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, id string, sigs int")
+    got = fp.edited_and_next(docs).collect()
+    assert len(got) == len(texts)
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    by = {(r.doc_id, r.n_chars): r for r in got}
+    for n, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(n + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        near = lambda a, b: len(spots(a) & spots(b)) / len(spots(a) | spots(b))
+        r = by[i, len(t)]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(r.near_edited - near(t, edited)) < 1e-9 and abs(r.near_next - near(t, nxt)) < 1e-9
+    assert fp.edited_and_next(docs.limit(0)).count() == 0

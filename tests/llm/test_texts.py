@@ -264,3 +264,21 @@ def test_wrapped_licenses(spark):
     got = {(r.doc_id, r.sentence, r.license) for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     # a colon ends the first line's sentence of the GPL notice
     assert got == {(1, 2, "MIT"), (2, 0, "BSD-3-Clause"), (3, 2, "GPL-3.0-or-later"), (4, 3, "MIT"), (5, 1, "MIT"), (6, 0, "MIT"), (6, 0, "BSD-3-Clause"), (8, 0, "MIT")}
+
+
+def test_decontamination_in_parts_and_sums_by_groups(spark, monkeypatch):
+    import random
+
+    draw = random.Random(9)
+    docs = [(d, _prose(draw, 90)) for d in range(120)]
+    items = [(d, " ".join(w[20:56])) for d, w in docs[::6]]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(7)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(r)[:2] for r in decontam.contaminated(frame, bench).collect())
+    assert whole == [(d, d) for d, _ in items]
+    parts = decontam._parts(bench, 1500)
+    assert len(parts) > 2 and sum(p.count() for p in parts) == len(items)
+    monkeypatch.setattr(decontam, "_parts", lambda b: parts)
+    monkeypatch.setattr(decontam, "_FAN", 2)
+    assert sorted(tuple(r)[:2] for r in decontam.contaminated(frame, bench).collect()) == whole
+    assert {r.doc_id for r in decontam.drop_contaminated(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in whole}
