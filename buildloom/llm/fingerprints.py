@@ -19,6 +19,8 @@ from .common import written
 CHAIN = 2
 #: stretches of as many rows each that keys are dealt into first
 QUANTILES = 128
+#: characters that one task sorts, about, where the session's own number of partitions gives it more
+TASK_CHARS = 1 << 26
 
 # The commonest words of English, German, French and Spanish.
 COMMON = """
@@ -83,7 +85,7 @@ def with_next(rows: DataFrame, key: str, first: str, columns: dict[str, Column]
     within a stretch.  Each range is sorted by itself, and the first row of each range is also lent
     to the range before it; no task sees all rows."""
     ends = [i / QUANTILES for i in range(QUANTILES + 1)]
-    n, marks = rows.agg(F.count("*"), F.percentile_approx(key, ends, 10_000)).head()
+    n, marks, chars = rows.agg(F.count("*"), F.percentile_approx(key, ends, 10_000), F.coalesce(F.sum(F.char_length(first)), F.lit(0))).head()
     marks = sorted(set(marks or [0]))
     inside = max(1, -(-math.isqrt(16 * n) // QUANTILES))
     at = F.col(key).cast("decimal(20,0)")
@@ -101,6 +103,9 @@ def with_next(rows: DataFrame, key: str, first: str, columns: dict[str, Column]
     heads = heads.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).where("__n = 1")
     lent = heads.withColumn("__range", F.col("__to")).select(*rows.columns, F.lit(1).alias("__lent"))
     both = rows.select(*rows.columns, F.lit(0).alias("__lent")).unionByName(lent)
+    tasks = -(-chars // TASK_CHARS)
+    if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        both = both.repartition(tasks, "__range")  # the window takes this dealing over
     w = Window.partitionBy("__range").orderBy("__lent", *order)
     both = both.withColumn(f"next_{first}", F.lead(first).over(w))
     # added where the rows already lie in order, so that they are made once and never shuffled

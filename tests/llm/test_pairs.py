@@ -154,7 +154,8 @@ def test_signatures_and_alike_sets(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == close and close
 
 
-def test_next_over_clusters_of_ids(spark):
+def test_next_over_clusters_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(fp, "TASK_CHARS", 1000)
     # ids in two far clusters: the ranges follow the rows, not the width of the ids
     ids = [*range(0, 3000), *range(10**12, 10**12 + 3000), -(2**62), 2**62]
     docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
