@@ -148,17 +148,6 @@ def trend(snapshots: DataFrame) -> DataFrame:
     return out.withColumn("ms_per_file", ratio("build_ms", "files")).withColumn("build_ms_before", F.lag("build_ms").over(w))
 
 
-def regressions(snapshots: DataFrame, metrics: list[str], threshold: float) -> DataFrame:
-    """Metrics that grew by more than threshold percent from the last but one snapshot to the last; twice that is critical; from 0 is left out."""
-    t = trend(snapshots)
-    w = Window.orderBy("label")
-    long = t.select("label", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")).select("label", "x.*")
-    last = long.withColumn("before", F.lag("value").over(Window.partitionBy("metric").orderBy("label"))).withColumn("__n", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("label")))).where("__n = 1")
-    pct = (F.col("value") - F.col("before")) / F.col("before") * 100
-    out = last.where("before <> 0").withColumn("pct", pct).where(F.col("pct") > threshold)
-    return out.select("metric", "before", F.col("value").alias("after"), "pct", F.when(F.col("pct") > 2 * threshold, "critical").otherwise("warning").alias("severity"))
-
-
 def line_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Blank, comment and code lines: a fold with a block-comment state; a line that opens with code is code and opens no block."""
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import minmax
-from ..operators import clusters as cl
 from ..operators import graph as g
 from ..operators import history as h
 from ..operators import metrics as m
@@ -83,17 +82,6 @@ def file_ownership(log, identities):
     return h.team_ownership(h.resolve_identities(log, identities), "file_id")
 
 
-@query("""select a.team as team_a, b.team as team_b, count(*) as pairs, count(distinct commit_id) as commits
- from (select distinct commit_id, team from commit_log join identities using (contributor) where is_resolved and team is not null) a join
- (select distinct file_id, commit_id from commit_log) f using (commit_id) join (select distinct file_id, team from commit_log join identities using (contributor) where is_resolved and team is not null) b using (file_id)
- group by 1, 2""", (LOG, "identities"))
-def team_coupling(log, identities):
-    rows = h.resolve_identities(log, identities).where("team is not null")
-    by_commit, by_file = rows.select("commit_id", F.col("team").alias("team_a")).distinct(), rows.select("file_id", F.col("team").alias("team_b")).distinct()
-    touched = log.select("file_id", "commit_id").distinct()
-    return by_commit.join(touched, "commit_id").join(by_file, "file_id").groupBy("team_a", "team_b").agg(F.count("*").alias("pairs"), F.countDistinct("commit_id").alias("commits"))
-
-
 @query(""">n as (select target, contributor, count(distinct commit_id) n from commit_log join files using (file_id) group by 1, 2),
  r as (select *, row_number() over (partition by target order by n, contributor) k, sum(n) over (partition by target order by n desc, contributor rows unbounded preceding) cum, sum(n) over (partition by target) total from n)
  select target, round((2 * sum(k * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)), 6) gini, round(sum(n * n) / (sum(n) * sum(n)), 6) hhi, round(max(n) / sum(n), 6) top_share,
@@ -165,11 +153,6 @@ def distribution_stats(files):
     return m.distribution(files, "compile_ms")
 
 
-@query("select file_id, path, target, kind, size, is_generated, compile_ms, commits, code_lines, round(size / nullif(code_lines, 0), 6) expansion from file_metrics", (FILES,))
-def left_join_spine(files):
-    return files.select("file_id", "path", "target", "kind", "size", "is_generated", "compile_ms", "commits", "code_lines", F.try_divide("size", "code_lines").alias("expansion"))
-
-
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -186,14 +169,6 @@ def schedule_summary(steps):
     return m.parallelism(steps)
 
 
-@query(""">o as (select distinct split_part(path, ' ', 1) prefix, 'dir:' || split_part(path, ' ', 1) as owner from files where target <> 'Brand#1')
- select file_id, f.path, owner, prefix from files f left join o on f.path = prefix or f.path like prefix || ' %'""", ("files",))
-def longest_prefix_owner(files):
-    first = F.split("path", " ")[0]
-    owners = files.where("target <> 'Brand#1'").select(first.alias("prefix"), F.concat(F.lit("dir:"), first).alias("owner")).distinct()
-    return m.longest_prefix(files.select("path").distinct(), "path", owners).join(files.select("file_id", "path"), "path").select("file_id", "path", "owner", "prefix")
-
-
 @query("select file_id, case when path like 'blue%' then 'blue' when path like 'hot %' then 'hot' when path like '%ring' then 'rings' when path like 'small _%' then 'small' end as module from files", ("files",))
 def glob_modules(files):
     return m.assign_modules(files, "path", PATTERNS).select("file_id", "module")
@@ -336,26 +311,6 @@ def _module_edges(edges, nodes):
     return edges.join(a, "src").join(b, "dst")
 
 
-@query(_ME + ", x as (select ma, mb, count(*) weight from e group by 1, 2) select x.ma, x.mb, x.weight, y.ma is not null and x.ma <> x.mb as both_ways from x left join x y on y.ma = x.mb and y.mb = x.ma", (EDGES, NODES))
-def module_graph(edges, nodes):
-    x = _module_edges(edges, nodes).groupBy("ma", "mb").agg(F.count("*").alias("weight"))
-    back = x.select(F.col("mb").alias("ma"), F.col("ma").alias("mb"), F.lit(True).alias("b"))
-    return x.join(back, ["ma", "mb"], "left").select("ma", "mb", "weight", (F.coalesce("b", F.lit(False)) & (F.col("ma") != F.col("mb"))).alias("both_ways"))
-
-
-@query(_ME + """, n as (select target m, count(*) files, cast(sum(ms) as bigint) ms from nodes group by 1), i as (select ma m, count(*) filter (where ma = mb) inside, count(*) filter (where ma <> mb) outside, count(distinct mb) filter (where ma <> mb) needs from e group by 1),
- u as (select mb m, count(distinct ma) used_by from e where ma <> mb group by 1)
- select n.m as module, files, ms, coalesce(inside, 0) inside, coalesce(outside, 0) outside, coalesce(needs, 0) needs, coalesce(used_by, 0) used_by, round(coalesce(inside / nullif(inside + outside, 0), 1.0), 6) self_containment
- from n left join i on i.m = n.m left join u on u.m = n.m""", (EDGES, NODES))
-def module_metrics(edges, nodes):
-    e, same = _module_edges(edges, nodes), F.col("ma") == F.col("mb")
-    n = nodes.groupBy(F.col("target").alias("module")).agg(F.count("*").alias("files"), F.sum("ms").alias("ms"))
-    i = e.groupBy(F.col("ma").alias("module")).agg(F.count_if(same).alias("inside"), F.count_if(~same).alias("outside"), F.countDistinct(F.when(~same, F.col("mb"))).alias("needs"))
-    u = e.where(~same).groupBy(F.col("mb").alias("module")).agg(F.countDistinct("ma").alias("used_by"))
-    out = n.join(i, "module", "left").join(u, "module", "left").na.fill(0, ["inside", "outside", "needs", "used_by"])
-    return out.withColumn("self_containment", F.coalesce(F.try_divide("inside", F.col("inside") + F.col("outside")), F.lit(1.0)))
-
-
 @query(_ME + " select ka as from_kind, kb as to_kind, count(*) as edges from e where ka <> kb group by 1, 2", (EDGES, NODES))
 def cross_category(edges, nodes):
     return _module_edges(edges, nodes).where("ka <> kb").groupBy(F.col("ka").alias("from_kind"), F.col("kb").alias("to_kind")).agg(F.count("*").alias("edges"))
@@ -417,25 +372,6 @@ def target_deltas(snapshots):
     return m.target_deltas(s.where("label = last - 1"), s.where("label = last"), "target", "build_ms")
 
 
-_REG = ["files", "build_ms", "slowest", "authors", "ms_per_file"]
-
-
-@query(""">t as (select label, sum(files) files, sum(build_ms) build_ms, max(build_ms) slowest, sum(authors) authors, sum(build_ms) / sum(files) ms_per_file from snapshots group by label),
- l as (""" + " union all ".join(f"select label, '{c}' metric, cast({c} as double) value from t" for c in _REG) + """), p as (select *, lag(value) over (partition by metric order by label) before, row_number() over (partition by metric order by label desc) k from l)
- select metric, round(before, 6) before, round(value, 6) as after, round((value - before) / before * 100, 6) pct, case when (value - before) / before * 100 > 0.2 then 'critical' else 'warning' end severity
- from p where k = 1 and before <> 0 and (value - before) / before * 100 > 0.1""", ("snapshots",))
-def regressions(snapshots):
-    return m.regressions(snapshots, _REG, 0.1)
-
-
-@query(">b as (select distinct src, dst from edges where src % 3 <> 0), a as (select distinct src, dst from edges where dst % 3 <> 0) select src, dst, case when b.src is null then 'added' when a.src is null then 'removed' else 'unchanged' end status from b full join a using (src, dst)", (EDGES,))
-def edge_deltas(edges):
-    return m.edge_deltas(edges.where("src % 3 <> 0"), edges.where("dst % 3 <> 0"))
-
-
-SQL["edge_deltas"] = SQL["edge_deltas"].replace("b as (select distinct src, dst", "b as (select distinct src, dst, 1 x").replace("a as (select distinct src, dst", "a as (select distinct src, dst, 1 x").replace("b.src is null", "b.x is null").replace("a.src is null", "a.x is null")
-
-
 @query(">p as (select min(ts) a, max(ts) b from commit_log)," + _CL.lstrip(">") + """, r as (select node, cast(ms + coalesce((select sum(n.ms) from c join nodes n on n.node = c.src where c.dst = x.node), 0) as bigint) rebuild_ms from nodes x),
  k as (select file_id node, count(distinct commit_id) n from commit_log group by 1)
  select node, rebuild_ms, round(coalesce(n, 0) / 120.0, 4) commits_a_day, cast(floor(coalesce(n, 0) / 120.0 * rebuild_ms) as bigint) daily_ms from r left join k using (node)""", (EDGES, NODES, LOG), recursive=True)
@@ -453,17 +389,7 @@ def header_interventions(edges, files):
     return rc.header_interventions(files.select(F.col("file_id").alias("header"), "size").join(fan, "header").join(direct, "header"))
 
 
-@query(None, (LOG, "files"))
-def contributor_clusters(log, files):
-    return cl.hierarchy(h.contributor_matrix(log.join(files.select("file_id", "target"), "file_id"), "target", 10, 5), "target", "contributor", "n")
-
-
-@query(None, (LOG, "files"))
-def contributor_factors(log, files):
-    return cl.factor_groups(h.contributor_matrix(log.join(files.select("file_id", "target"), "file_id"), "target", 10, 5), "target", "contributor", "n", 3, 5)
-
-
-from . import consolidation, includes, readers, scenarios, snapshots, sharing  # noqa: E402, F401  register theirs
+from . import consolidation, includes, readers, scenarios, sharing, snapshots  # noqa: E402, F401  register theirs
 
 
 def queries() -> dict:

@@ -83,8 +83,9 @@ def schedule_validation(edges, nodes, files):
 
 
 #: longest chains without each edge that lies on a critical one: the chains are followed anew for each
-_WITHOUT = _CP + """, tight as (select e.src, e.dst from edges e join cp a on a.node = e.src join cp z on z.node = e.dst where a.slack = 0 and z.slack = 0), w(s, d, node, finish) as (select src, dst, node, ms from tight, nodes union
-  select w.s, w.d, e.src, w.finish + n.ms from w join edges e on e.dst = w.node join nodes n on n.node = e.src where not (e.src = w.s and e.dst = w.d)), z as (select s, d, max(finish) without_ms from w group by 1, 2)"""
+_WITHOUT = _CP + """, tight as (select e.src, e.dst from edges e join cp a on a.node = e.src join cp z on z.node = e.dst where a.slack = 0 and z.slack = 0), w(s, d, node, finish) using key (s, d, node) as (select src, dst, node, ms from tight, nodes union
+  select q.s, q.d, q.node, max(q.f) from (select w.s, w.d, e.src node, w.finish + n.ms f from w join edges e on e.dst = w.node join nodes n on n.node = e.src where not (e.src = w.s and e.dst = w.d)) q
+  join recurring.w r on r.s = q.s and r.d = q.d and r.node = q.node where q.f > r.finish group by q.s, q.d, q.node), z as (select s, d, max(finish) without_ms from w group by 1, 2)"""
 
 
 @query(_WITHOUT + " select s as src, d as dst, total as length_ms, without_ms from z, t", (EDGES, NODES), recursive=True)
@@ -95,7 +96,7 @@ def whatif_remove_edges(edges, nodes):
 
 
 @query(_WITHOUT + """, r as (select s src, d dst, total - without_ms impact, weight % 2 = 0 as public from z join edges on edges.src = s and edges.dst = d, t where total > without_ms order by 3 desc, 1, 2 limit 20)
- select case when public then 'narrow_visibility' else 'remove_dependency' end as type, src, dst, impact, round(greatest(0.5, least(10.0, size * 0.1)), 6) effort, 0.7 as confidence from r join files on file_id = src""", (EDGES, NODES, "files"), recursive=True)
+ select case when public then 'narrow_visibility' else 'remove_dependency' end as type, src, dst, impact, round(cast(greatest(0.5, least(10.0, size * 0.1)) as double), 6) effort, cast(0.7 as double) as confidence from r join files on file_id = src""", (EDGES, NODES, "files"), recursive=True)
 def dependency_interventions(edges, nodes, files):
     seen = edges.withColumn("visibility", F.when(F.col("weight") % 2 == 0, "PUBLIC").otherwise("PRIVATE"))
     return rc.dependency_interventions(nodes, seen, files.select(F.col("file_id").alias("node"), F.col("size").alias("files")))
@@ -141,7 +142,7 @@ def split_simulation(steps, paths):
     return rc.splits(groups, _totals(steps))
 
 
-@query(_CP + " select 'split_target' as type, cast(node as varchar) item, round(ms * 0.4, 6) impact, round(greatest(1.0, least(30.0, size * 0.3)), 6) effort, 0.5 as confidence from (select * from cp join files on file_id = node where slack = 0 and size >= 4 order by ms desc, node limit 20)", (EDGES, NODES, "files"), recursive=True)
+@query(_CP + " select 'split_target' as type, cast(node as varchar) item, round(cast(ms * 0.4 as double), 6) impact, round(cast(greatest(1.0, least(30.0, size * 0.3)) as double), 6) effort, cast(0.5 as double) as confidence from (select * from cp join files on file_id = node where slack = 0 and size >= 4 order by ms desc, node limit 20)", (EDGES, NODES, "files"), recursive=True)
 def split_interventions(edges, nodes, files):
     return rc.split_interventions(nodes, edges, files.select(F.col("file_id").alias("node"), F.col("size").alias("files")))
 
@@ -153,7 +154,8 @@ def rebuild_sets(edges, nodes, log):
 
 
 @query(CLOSURE + """, t as (select distinct commit_id, file_id node from commit_log), s as (select commit_id, node from t union select commit_id, c.src from t join c on c.dst = t.node),
- f(commit_id, node, finish) as (select commit_id, node, ms from s join nodes using (node) union select f.commit_id, e.src, f.finish + n.ms from f join edges e on e.dst = f.node join nodes n on n.node = e.src)
+ f(commit_id, node, finish) using key (commit_id, node) as (select commit_id, node, ms from s join nodes using (node) union select q.commit_id, q.node, max(q.x) from (select f.commit_id, e.src node, f.finish + n.ms x from f join edges e on e.dst = f.node join nodes n on n.node = e.src) q
+  join recurring.f r on r.commit_id = q.commit_id and r.node = q.node where q.x > r.finish group by q.commit_id, q.node)
  select commit_id, (select count(*) from t where t.commit_id = f.commit_id) modified, count(distinct node) rebuilt, max(finish) build_ms from f group by commit_id""", (EDGES, NODES, LOG), recursive=True)
 def replayed_commits(edges, nodes, log):
     return rp.replay(log.select("commit_id", F.col("file_id").alias("node")), nodes, edges)
@@ -214,13 +216,13 @@ def graph_endpoints(edges, nodes):
 
 
 @query(CLOSURE + f""", seed as (select node from nodes where node = {_MOST}), rel as (select node from seed union select dst from c where src in (select node from seed))
- select node from rel join nodes using (node) where target like 'Brand#[1-3]%' and ms >= 100000 and kind <> 'SMALL'""", (EDGES, NODES), recursive=True)
+ select node from rel join nodes using (node) where target like 'Brand#[1-3]%' and ms >= 90005 and kind <> 'SMALL'""", (EDGES, NODES), recursive=True)
 def resolved_scope(edges, nodes):
     target = edges.groupBy("src").count().orderBy(F.desc("count"), "src").head()[0]
     rows = nodes.withColumn("module", F.col("target"))
     small = [r[0] for r in nodes.select("kind").where("kind <> 'SMALL'").distinct().collect()]  # the few kinds there are
     brands = [r[0] for r in nodes.select("target").where("target rlike '^Brand#[1-3]'").distinct().collect()]  # 25 brands at most
-    return sc.resolve(rows, edges, dependencies_of=[target], modules=brands, types=small, min_build_ms=100000)
+    return sc.resolve(rows, edges, dependencies_of=[target], modules=brands, types=small, min_build_ms=90005)
 
 
 from .registry import SQL  # noqa: E402
@@ -228,10 +230,10 @@ from .registry import SQL  # noqa: E402
 SQL["resolved_scope"] = SQL["resolved_scope"].replace("target like 'Brand#[1-3]%'", "regexp_matches(target, '^Brand#[1-3]')")
 
 
-@query("""select 'min_build' as option, count(*) n from nodes where ms >= 120000 union all select 'directory', count(*) from nodes where target like 'Brand#1%' union all select 'excluded', count(*) from nodes where target <> 'Brand#11' union all select 'type', count(*) from nodes where kind = 'SMALL'""", (EDGES, NODES))
+@query("""select 'min_build' as option, count(*) n from nodes where ms >= 90100 union all select 'directory', count(*) from nodes where target like 'Brand#1%' union all select 'excluded', count(*) from nodes where target <> 'Brand#11' union all select 'type', count(*) from nodes where kind = 'SMALL'""", (EDGES, NODES))
 def scope_tiers(edges, nodes):
     rows, spark = nodes.select(F.concat("target", F.lit(":"), "node").alias("node"), F.col("target").alias("directory"), "kind", "ms"), nodes.sparkSession
-    asked = {"min_build": {"min_build_ms": 120000}, "directory": {"directories": ["Brand#1"]}, "excluded": {"exclude_globs": ["Brand#11:*"]}, "type": {"types": ["SMALL"]}}
+    asked = {"min_build": {"min_build_ms": 90100}, "directory": {"directories": ["Brand#1"]}, "excluded": {"exclude_globs": ["Brand#11:*"]}, "type": {"types": ["SMALL"]}}
     out = None
     for name, how in asked.items():
         one = sc.resolve(rows, edges, **how).agg(F.lit(name).alias("option"), F.count("*").alias("n"))
