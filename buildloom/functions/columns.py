@@ -36,10 +36,11 @@ def extension(column: str) -> Column:
     return F.regexp_extract(column, r"(\.[^./]*)$", 1)
 
 
-def normal_path(column: str) -> Column:
+def normal_path(column: str | Column) -> Column:
     """A path without empty parts, `.` and `..` where it can be resolved."""
-    parts = F.split(column, "/")
-    absolute = F.col(column).startswith("/")
+    path = F.col(column) if isinstance(column, str) else column
+    parts = F.split(path, "/")
+    absolute = path.startswith("/")
 
     def step(done: Column, part: Column) -> Column:
         up = F.size(done) > 0
@@ -54,3 +55,14 @@ def normal_path(column: str) -> Column:
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
     joined = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
     return F.when(joined == "", ".").otherwise(joined)
+
+
+def resolved_path(path: Column, base: Column) -> Column:
+    """A path from its base folder, or by itself if it is absolute, without `.` and `..`."""
+    return normal_path(F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path)))
+
+
+def split_values(values) -> list[str]:
+    """The parts of comma-separated options given several times: in order, once each, without blanks."""
+    parts = (p.strip() for v in values or () for p in str(v).split(","))
+    return list(dict.fromkeys(p for p in parts if p))

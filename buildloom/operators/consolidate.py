@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..functions.storage import written
 from . import graph as g
 from .history import keep_one
 
@@ -141,7 +142,7 @@ def graph_counters(targets: DataFrame, edges: DataFrame) -> DataFrame:
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth): the longest way from a root; 0 for all if the graph has a cycle."""
     try:
-        return g.longest(nodes, g.reverse(edges)).select("node", F.col("level").cast("long").alias("depth"))
+        return written(g.longest(nodes, g.reverse(edges)).select("node", F.col("level").cast("long").alias("depth")), "depths")
     except Exception as e:  # the cycle is found where the chains are followed, in a task or here
         if "has a cycle" not in str(e):
             raise

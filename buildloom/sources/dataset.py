@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,24 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*(one(f) for f in fields), *(c for c in df.columns if c not in {f.name for f in fields}))
 
 
+def uncastable(df: DataFrame, schema: str) -> dict[str, int]:
+    """How many values of each column the schema's type does not take, in one pass."""
+    fields = [f for f in df.sparkSession.createDataFrame([], schema).schema.fields if f.name in df.columns]
+    lost = lambda f: F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    fields = [f for f in fields if df.schema[f.name].dataType != f.dataType]
+    return df.agg(*(lost(f).alias(f.name) for f in fields)).head().asDict() if fields else {}
+
+
+def project_file(folder: str, name: str, levels: int = 5) -> str | None:
+    """The file of that name in the folder or in the nearest of its ancestors, so many folders at most; None if there is none."""
+    here = Path(folder)
+    for _ in range(levels):
+        if (here / name).exists():
+            return str(here / name)
+        here = here.parent
+    return None
+
+
 class Dataset:
     """Lazily read tables of one folder."""
 
@@ -77,9 +96,12 @@ class Dataset:
             if not self.has(name):
                 raise FileNotFoundError(f"{name}.parquet is not in {self.folder}")
             df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            df = conform(df, SCHEMAS[name]) if name in SCHEMAS else df
-            if self.check and name in SCHEMAS and (bad := {r.rule: r.failures for r in self.faults(name, df).where("failures > 0").collect()}):
-                raise ValueError(f"{name}: rows that fail {bad}")
+            raw, df = df, conform(df, SCHEMAS[name]) if name in SCHEMAS else df
+            if self.check and name in SCHEMAS:
+                bad = {r.rule: r.failures for r in self.faults(name, df).where("failures > 0").collect()}
+                bad |= {f"{c} is of its type": n for c, n in uncastable(raw, SCHEMAS[name]).items() if n}
+                if bad:
+                    raise ValueError(f"{name}: rows that fail {bad}")
             self._held[name] = df
         return self._held[name]
 
@@ -140,6 +162,13 @@ class Snapshots:
         row = self.list().orderBy(F.desc("date"), F.desc("label")).head()
         return row.label if row else None
 
+    def pair(self, before: str, after: str) -> tuple[Dataset, Dataset]:
+        """Two snapshots to compare; FileNotFoundError for a label without tables."""
+        for label in (before, after):
+            if not exists(self.spark, f"{self.root}/{label}/processed"):
+                raise FileNotFoundError(f"no snapshot {label!r} in {self.root}")
+        return self.get(before), self.get(after)
+
     def all(self, table: str) -> DataFrame | None:
         """The table of every snapshot that has it, with label and date."""
         out = None

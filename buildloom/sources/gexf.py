@@ -8,16 +8,12 @@ from pyspark.sql import DataFrame
 
 TYPES = {"long": "long", "integer": "integer", "double": "double", "float": "double", "boolean": "boolean"}
 DEFAULTS = {"long": 0, "integer": 0, "double": 0.0, "boolean": False, "string": ""}
-#: rows that a file may have, as the file is written on the driver
-MOST = 1_000_000
 
 
 def write(nodes: DataFrame, edges: DataFrame, path: str, directed: bool = True) -> None:
-    """nodes(node, ...) and edges(src, dst, ...) as a GEXF file; graphs beyond `MOST` rows are refused.
+    """nodes(node, ...) and edges(src, dst, ...) as a GEXF file on the driver's machine.
 
-    Rows stream to the driver, a partition at a time."""
-    if nodes.limit(MOST + 1).count() > MOST or edges.limit(MOST + 1).count() > MOST:
-        raise ValueError(f"a GEXF file takes up to {MOST} nodes and edges")
+    The format is one file; rows stream into it a partition at a time, so the driver holds no more than one."""
 
     def attributes(df: DataFrame, kind: str, skip: tuple[str, ...]):
         fields = [(f.name, TYPES.get(f.dataType.typeName(), "string")) for f in df.schema.fields if f.name not in skip]

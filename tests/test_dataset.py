@@ -64,6 +64,47 @@ def test_clusters(spark):
     assert {r.clusters for r in cl.factor_groups(long, "who", "what", "n", 2, 3).collect()} == {2, 3}
 
 
+def test_ward_matches_the_plain_way():
+    draw = np.random.default_rng(4)
+    for n in (2, 5, 23):
+        x = draw.random((n, 4))
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        groups = [[i] for i in range(n)]
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        want = {}
+        while True:
+            if len(groups) in (1, 2, 3, 5):
+                want[len(groups)] = sorted(sorted(g) for g in groups)
+            if len(groups) == 1:
+                break
+            a, b = min(((a, b) for i, a in enumerate(groups) for b in groups[:i]), key=lambda p: cost(*p))
+            groups = [g for g in groups if g is not a and g is not b] + [a + b]
+        for k, label in cl.ward(far, [1, 2, 3, 5]).items():
+            assert sorted(sorted(np.flatnonzero(label == c).tolist()) for c in np.unique(label)) == want[k]
+
+
+def test_bad_values_fail_and_files_are_found(spark, tmp_path):
+    from buildloom.sources import dataset as ds
+
+    data = ds.Dataset(spark, str(tmp_path / "deep" / "er"))
+    data.save("contributor_target_commits", spark.createDataFrame([("a", "t", "3"), ("b", "t", "many")], "contributor string, cmake_target string, commit_count string"))
+    with pytest.raises(ValueError, match="commit_count is of its type"):
+        data.table("contributor_target_commits")
+    (tmp_path / "teams.yaml").write_text("")
+    assert ds.project_file(str(tmp_path / "deep" / "er"), "teams.yaml") == str(tmp_path / "teams.yaml")
+    assert ds.project_file(str(tmp_path / "deep" / "er"), "none.yaml") is None
+
+
+def test_emitted_reports(spark):
+    from buildloom.operators import consolidate as co
+
+    rows = spark.createDataFrame([(1, "x"), (2, None), (3, "z, w")], "n long, t string").orderBy("n")
+    assert co.emit(rows, "csv", 0) == "n,t\r\n1,x\r\n2,\r\n3,\"z, w\"\r\n"
+    assert co.emit(rows, "json", 1) == '{"n": 1, "t": "x"}\n' and co.emit(rows, "table", 2) == "n  t\n1  x\n2\n"
+    with pytest.raises(ValueError):
+        co.emit(rows, "odd")
+
+
 def test_recommendations(spark):
     rows = spark.createDataFrame([("t", "a", 10.0, 1.0, 0.5), ("t", "b", 8.0, 5.0, 0.5), ("t", "c", 20.0, 12.0, 0.5), ("t", "d", 10.0, 1.0, 0.5)], "type string, item string, impact double, effort double, confidence double")
     assert [(r["item"], r["category"]) for r in rc.frontier(rows).collect()] == [("c", "strategic"), ("a", "quick_win"), ("d", "quick_win")]

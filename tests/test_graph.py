@@ -51,7 +51,7 @@ def test_closure_with_a_cycle(spark):
 def test_ranks_sum_to_one_and_follow_the_definition(spark):
     nodes = spark.range(5).selectExpr("id as node")
     pairs = [(1, 0), (2, 0), (3, 1), (3, 2)]
-    got = {r.node: r.rank for r in g.pagerank(nodes, spark.createDataFrame(pairs, "src long, dst long"), rounds=30).collect()}
+    got = {r.node: r.rank for r in g.pagerank(nodes, spark.createDataFrame(pairs, "src long, dst long"), rounds=30, tolerance=None).collect()}
     rank = [0.2] * 5
     for _ in range(30):
         loose = rank[0] + rank[4]
@@ -84,3 +84,55 @@ def test_schedules():
 def test_empty_graph(spark):
     nodes, edges = spark.createDataFrame([], "node long, ms long"), spark.createDataFrame([], "src long, dst long")
     assert g.closure(edges).count() == g.longest(nodes, edges).count() == g.components(nodes, edges).count() == 0
+
+
+def test_ranks_stop_at_the_tolerance(spark):
+    nodes, edges = spark.range(6).selectExpr("id as node"), spark.createDataFrame([(1, 0), (2, 0), (3, 1), (0, 3), (4, 5)], "src long, dst long")
+    near = {r.node: r.rank for r in g.pagerank(nodes, edges).collect()}
+    long = {r.node: r.rank for r in g.pagerank(nodes, edges, rounds=200, tolerance=None).collect()}
+    assert all(abs(near[n] - long[n]) < 1e-4 for n in near) and sum(near.values()) == pytest.approx(1)
+
+
+def test_lengths_without_an_edge_match_brute_force(spark):
+    import random
+
+    draw = random.Random(11)
+    for _ in range(3):
+        ms = {n: draw.randrange(1, 30) for n in range(14)}
+        pairs = sorted({(a, b) for a in range(14) for b in range(a) if draw.random() < 0.25})
+
+        def longest(edges):
+            best = {}
+            for n in range(14):
+                best[n] = ms[n] + max((best[b] for a, b in edges if a == n), default=0)
+            return max(best.values())
+
+        nodes, edges = spark.createDataFrame(list(ms.items()), "node long, ms long"), spark.createDataFrame(pairs, "src long, dst long")
+        got = {(r.src, r.dst): (r.length_ms, r.without_ms) for r in g.lengths_without(nodes, edges, edges).collect()}
+        assert got == {e: (longest(pairs), longest([x for x in pairs if x != e])) for e in pairs}
+
+
+def test_schedules_with_pools_targets_and_scopes(spark):
+    nodes = spark.createDataFrame([("a", 5, "static_library"), ("b", 7, "executable"), ("c", 7, "executable"), ("d", 3, "custom_target")], "node string, ms long, kind string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b")], "src string, dst string")
+    runs = spark.createDataFrame([("free", 4, 0), ("pooled", 4, 1)], "scenario string, cores int, link_depth int")
+    wall = lambda plan: {r.scenario: r.w for r in plan.groupBy("scenario").agg({"end_ms": "max"}).toDF("scenario", "w").collect()}
+    # with one link at a time c waits for b
+    assert wall(g.simulate(nodes, edges, runs)) == {"free": 15, "pooled": 19}
+    assert wall(g.simulate(nodes, edges, runs, target="c")) == {"free": 12, "pooled": 12}
+    assert wall(g.simulate(nodes, edges, runs, scope=nodes.where("node in ('a', 'd')"))) == {"free": 5, "pooled": 5}
+    with pytest.raises(KeyError):
+        g.simulate(nodes, edges, runs, target="nowhere")
+    with pytest.raises(ValueError):
+        g.simulate(nodes, edges, runs, target="c", scope=nodes)
+    assert {r.node: r.weight for r in g.chain_weights(nodes, edges).collect()} == {"a": 1, "b": 2, "c": 2, "d": 2}
+
+
+def test_cycles_are_told(spark):
+    nodes, edges = spark.createDataFrame([(1,), (2,)], "node long"), spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    assert not g.is_acyclic(nodes, edges)
+    with pytest.raises(ValueError):
+        g.build_graph(nodes, edges)
+    from buildloom.operators import consolidate
+
+    assert {r.depth for r in consolidate.depths(nodes, edges).collect()} == {0}

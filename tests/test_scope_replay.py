@@ -38,8 +38,11 @@ def test_replay(spark, build):
 
 def test_schedules_and_headers(spark):
     frame = lambda rows: spark.createDataFrame(rows, "node string, start_ms long, end_ms long")
-    r = replay.compare_schedules(frame([("a", 0, 110)]), frame([("a", 50, 150)])).head()
-    assert (r.simulated_wall_ms, r.observed_wall_ms, r.error_pct) == (110, 100, 10.0)
+    cores = frame([("a", 0, 110)]).selectExpr("*", "0 as core")
+    r = replay.compare_schedules(cores, frame([("a", 50, 90), ("a", 80, 125), ("b", 0, 10)])).head()
+    # walls end with the last target, and an observed target lasts from its first step to its last
+    assert (r.simulated_wall_ms, r.observed_wall_ms, r.error_pct, r.within_tolerance) == (110, 125, 12.0, False)
+    assert r.simulated_utilisation == 1.0 and r.observed_utilisation == (75 + 10) / 125
     pair = lambda rows: spark.createDataFrame(rows, "node string, header string")
     edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("D", "E")], "src string, dst string")
     thin = replay.thin_dependencies(edges, pair([("B", "b1"), ("B", "b2"), ("B", "b3"), ("C", "c1")]), pair([("A", "b1"), ("A", "c1")]))
