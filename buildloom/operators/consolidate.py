@@ -153,15 +153,20 @@ def target_metrics(targets: DataFrame, files: DataFrame, steps: DataFrame, edges
     """One row for each of targets(cmake_target, raw_type, source_dir): file figures, step times, graph counters, file lists.
 
     A target without files has zeros and empty lists; the total build time is that of its compilations,
-    code generation, archiving and linking."""
+    code generation, archiving and linking.  Depth and betweenness are over edges of all kinds; what a
+    target adds to the critical path is not known here and 0."""
     col, zero = F.col, lambda c: F.coalesce(c, F.lit(0))
     roll, times, lists, counts = file_rollup(files), step_totals(steps), file_lists(files), graph_counters(targets, edges)
+    nodes = targets.select(col("cmake_target").alias("node")).distinct()
+    known = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
+    placed = depths(nodes, known).join(g.betweenness(nodes, known), "node").select(col("node").alias("cmake_target"), col("depth").alias("topological_depth"), col("betweenness").alias("betweenness_centrality"))
+    counts = counts.join(placed, "cmake_target", "left")
     out = targets.join(roll, "cmake_target", "left").join(times, "cmake_target", "left").join(counts, "cmake_target", "left").na.fill(0).join(lists, "cmake_target", "left")
     out = out.na.fill("[]", ["source_files", "generated_files"])
     inside = F.startswith(col("source_dir"), F.lit(top.rstrip("/") + "/"))
     deep = F.when(inside, F.size(F.split(F.substring(col("source_dir"), len(top.rstrip("/")) + 2, 1 << 20), "/"))).otherwise(0)
     return out.withColumns({
-        "target_type": target_type(col("raw_type")), "directory_depth": deep.cast("long"),
+        "target_type": target_type(col("raw_type")), "directory_depth": deep.cast("long"), "critical_path_contribution_ms": F.lit(0).cast("long"),
         "total_build_time_ms": zero(col("compile_time_sum_ms")) + zero(col("codegen_time_ms")) + zero(col("archive_time_ms")) + zero(col("link_time_ms")),
     }).drop("raw_type")
 

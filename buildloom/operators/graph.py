@@ -237,7 +237,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, blocks: int = 64) -> DataFra
                         share[v] += paths[v] / paths[w] * (1 + share[w])
                     if w != s:
                         total[w] += share[w]
-        yield pd.DataFrame({"node": list(total), "part": list(total.values())})
+        if total:
+            yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "part": list(total.values())})
 
     kind = nodes.schema["node"].dataType.simpleString()
     parts = nodes.select("node").repartition(blocks, "node").mapInPandas(block, f"node {kind}, part double")

@@ -114,15 +114,35 @@ def refactor_hotspots(targets: DataFrame) -> DataFrame:
     return minmax(df, t="ms", c="lc", d="ld").withColumn("score", F.col("t") * F.col("c") * F.col("d")).drop("lc", "ld", "t", "c", "d")
 
 
-def slow_files(files: DataFrame, view: str) -> DataFrame:
-    """The slow-file views: share of generated size, bloat of size, and low throughput."""
+def slow_files(files: DataFrame, view: str, least_bytes: int = 512, least_lines: int = 50) -> DataFrame:
+    """One of the views of files that are slow to compile, with the figure that it sorts by.
+
+    slowest: by compile time; template: by the share of template instantiation in the compiler's time (0
+    over none), compiled files alone; bloat: by growth in preprocessing, sources of least_bytes or
+    more; throughput: by lines compiled a second, the fewest first, compiled files of least_lines or more."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    key = ["source_file", "cmake_target", "compile_time_ms"]
     if view == "slowest":
-        return files.select("file_id", "target", "compile_ms")
+        return files.select(*key, F.col("compile_time_ms").cast("double").alias("figure")).orderBy(F.desc_nulls_last("figure"), "source_file")
+    if view == "template":
+        share = F.coalesce(F.try_divide(zero("compiler_template_instantiation_ms"), "compiler_total_time_ms"), F.lit(0.0))
+        return files.where(zero("compile_time_ms") > 0).select(*key, share.alias("figure")).orderBy(F.desc("figure"), "source_file")
     if view == "bloat":
-        return files.where("size >= 20 and code_lines > 0").select("file_id", "target", "size", ratio("size", "code_lines").alias("expansion"))
+        return files.where(zero("source_size_bytes") >= least_bytes).select(*key, F.col("expansion_ratio").alias("figure")).orderBy(F.desc_nulls_last("figure"), "source_file")
     if view == "throughput":
-        return files.where("code_lines >= 50 and compile_ms > 0").select("file_id", "target", ratio(F.col("code_lines") * 1000.0, "compile_ms").alias("lines_per_second"))
-    return files.where("compile_ms > 0").groupBy("target").agg((F.sum(F.when(F.col("is_generated"), F.col("compile_ms")).otherwise(0)) / F.sum("compile_ms")).alias("generated_fraction"))
+        return files.where((zero("code_lines") >= least_lines) & (zero("compile_time_ms") > 0)).select(*key, F.col("compile_rate_lines_per_sec").alias("figure")).orderBy(F.asc_nulls_last("figure"), "source_file")
+    raise ValueError(f"{view!r} is no view: slowest, template, bloat or throughput")
+
+
+def ownership_risk(concentration: DataFrame, targets: DataFrame, most_contributors: int | None = None, least_share: float = 0.0) -> DataFrame:
+    """Top share times Gini times the root of the build time of each target, with filters on what is shown; targets(target, ms), a missing time counts as 0."""
+    out = concentration.join(targets.select("target", "ms"), "target", "left")
+    out = out.withColumn("risk", F.col("top_share") * F.col("gini") * F.sqrt(F.coalesce("ms", F.lit(0)).cast("double")))
+    if most_contributors is not None:
+        out = out.where(F.col("contributors") <= most_contributors)
+    if least_share > 0:
+        out = out.where(F.col("top_share") >= least_share)
+    return out.select("target", "contributors", "top_share", "gini", "commits", "risk")
 
 
 def target_deltas(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -199,18 +199,6 @@ def minmax_scaled(files):
     return minmax(files.select("file_id", "compile_ms"), scaled="compile_ms").select("file_id", "scaled")
 
 
-@query("select 'slowest' as view, file_id as key, cast(compile_ms as double) as value from file_metrics union all select 'bloat', file_id, round(size / code_lines, 6) from file_metrics where size >= 20 and code_lines > 0 union all select 'throughput', file_id, round(code_lines * 1000.0 / compile_ms, 6) from file_metrics where code_lines >= 50 and compile_ms > 0", (FILES,))
-def slow_files(files):
-    parts = [("slowest", "compile_ms"), ("bloat", "expansion"), ("throughput", "lines_per_second")]
-    a, b, c = (m.slow_files(files, n).select(F.lit(n).alias("view"), F.col("file_id").alias("key"), F.col(x).cast("double").alias("value")) for n, x in parts)
-    return a.unionByName(b).unionByName(c)
-
-
-@query("select target, round(sum(case when is_generated then compile_ms else 0 end) / sum(compile_ms), 6) generated_fraction from file_metrics where compile_ms > 0 group by target", (FILES,))
-def generated_fraction(files):
-    return m.slow_files(files, "generated")
-
-
 # --- graphs
 
 _CL = CLOSURE
@@ -337,15 +325,6 @@ def hotspots(files, edges):
     return m.refactor_hotspots(t)
 
 
-@query(""">n as (select target, contributor, count(distinct commit_id) n from commit_log join files using (file_id) group by 1, 2), r as (select *, row_number() over (partition by target order by n, contributor) k from n),
- c as (select target, (2 * sum(k * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)) gini, max(n) / sum(n) top_share from r group by 1), b as (select target, sum(compile_ms) ms from files group by 1)
- select target, round(top_share * gini * sqrt(ms), 6) risk from c join b using (target)""", (LOG, "files"))
-def ownership_risk(log, files):
-    c = h.concentration(log.join(files.select("file_id", "target"), "file_id"), "target")
-    time = files.groupBy("target").agg(F.sum("compile_ms").alias("ms"))
-    return c.join(time, "target").select("target", (F.col("top_share") * F.col("gini") * F.sqrt("ms")).alias("risk"))
-
-
 @query(_CL + ", u as (select dst, count(*) n from c group by 1) select file_id, cast(coalesce(n, 0) * size * (1.0 + commits) as double) impact from file_metrics left join u on dst = file_id", (EDGES, FILES), recursive=True)
 def header_impact(edges, files):
     fan = g.closure(edges).groupBy(F.col("dst").alias("file_id")).agg(F.count("*").alias("n"))

@@ -48,13 +48,19 @@ def graph_counters(edges, paths):
 _LISTS = """li as (select cmake_target, cast(to_json(list(source_file order by source_file)) as varchar) source_files, cast(coalesce(to_json(list(source_file order by source_file) filter (where is_generated)), '[]') as varchar) generated_files from sources group by 1)"""
 
 
-@query(f">{_FILES}, {_TARGETS}, {_COUNTS}, {_STEPS}, {_LISTS}, ro as ({_ROLLED})" + " select t.cmake_target, source_dir, "
+_PLACE = """lw(node, level) as (select cmake_target, 0 from targets union select e.dst, lw.level + 1 from lw join de e on e.src = lw.node), dp as (select node cmake_target, cast(max(level) as bigint) topological_depth from lw group by 1),
+ ds(s, v, d) as (select src, dst, 1 from de union select s, e.dst, d + 1 from ds join de e on e.src = v), m as (select s, v, min(d) d from ds group by 1, 2),
+ sg(s, v, d, n) as (select src, dst, 1, cast(1 as double) from de union all select s, v, d, sum(n) from (select p.s, e.dst v, p.d + 1 d, p.n from sg p join de e on e.src = p.v join m on m.s = p.s and m.v = e.dst and m.d = p.d + 1) group by s, v, d),
+ bt as (select x.v cmake_target, sum(x.n * y.n / z.n) b from sg x join sg y on y.s = x.v join sg z on z.s = x.s and z.v = y.v and z.d = x.d + y.d group by 1), nt as (select count(*) n from targets)"""
+
+
+@query(f">{_FILES}, {_TARGETS}, {_COUNTS}, {_STEPS}, {_LISTS}, {_PLACE}, ro as ({_ROLLED})" + " select t.cmake_target, source_dir, topological_depth, round(coalesce(b, 0) / ((nt.n - 1.0) * (nt.n - 2.0)), 6) betweenness_centrality, cast(0 as bigint) critical_path_contribution_ms, "
        + ", ".join(f"coalesce({x}, 0) {x}" for x in ("file_count", "codegen_file_count", "authored_file_count", "object_file_count", "git_hotspot_file_count", *_INT, *_REAL, "codegen_time_ms", "archive_time_ms", "link_time_ms"))
        + """, direct_dependency_count, transitive_dependency_count, total_dependency_count, direct_dependant_count, transitive_dependant_count, fan_in, fan_out,
  coalesce(source_files, '[]') source_files, coalesce(generated_files, '[]') generated_files, case raw_type when 'EXECUTABLE' then 'executable' when 'STATIC_LIBRARY' then 'static_library' when 'UTILITY' then 'custom_target' when 'INTERFACE_LIBRARY' then 'interface_library' else 'unknown' end target_type,
  cast(case when source_dir like '/top/%' then len(string_split(source_dir, '/')) - 2 else 0 end as bigint) directory_depth,
  coalesce(compile_time_sum_ms, 0) + coalesce(codegen_time_ms, 0) + coalesce(archive_time_ms, 0) + coalesce(link_time_ms, 0) total_build_time_ms
- from targets t left join ro using (cmake_target) left join st using (cmake_target) left join gc using (cmake_target) left join li using (cmake_target)""", ("sources", "target_edges", "paths", "target_steps"), recursive=True)
+ from targets t left join ro using (cmake_target) left join st using (cmake_target) left join gc using (cmake_target) left join li using (cmake_target) left join dp using (cmake_target) left join bt using (cmake_target), nt""", ("sources", "target_edges", "paths", "target_steps"), recursive=True)
 def target_metrics(sources, edges, paths, steps):
     return c.target_metrics(targets(paths), c.derived_ratios(sources), steps, edges, "/top")
 

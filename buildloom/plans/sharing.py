@@ -10,6 +10,7 @@ from ..operators import exports as ex
 from ..operators import graph as g
 from ..operators import history as h
 from ..operators import includes as inc
+from ..operators import metrics as mt
 from ..operators import modules as md
 from ..operators import recommend as rc
 from .includes import _C, _F, _G, _P, ROWS, ranks
@@ -164,6 +165,27 @@ def contributor_factors(log, files):
     return cl.factor_groups(h.contributor_matrix(log.join(files.select("file_id", "target"), "file_id"), "target", 10, 5), "contributor", "target", "n")
 
 
+_RISK = """n as (select f.target, contributor, count(distinct commit_id) n from commit_log join paths f using (file_id) group by 1, 2), r as (select *, row_number() over (partition by target order by n, contributor) k from n),
+ c as (select target, (2 * sum(k * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)) gini, max(n) / sum(n) top_share, count(*) contributors, cast(sum(n) as bigint) commits from r group by 1), b as (select cmake_target target, sum(compile_time_ms) ms from sources group by 1)"""
+
+
+@query(f">{_RISK} select target, contributors, round(top_share, 6) top_share, round(gini, 6) gini, commits, round(top_share * gini * sqrt(ms), 6) risk from c join b using (target) where contributors <= 200 and top_share >= 0.005", (LOG, "paths", "sources"))
+def ownership_risk(log, paths, sources):
+    c = h.concentration(log.join(paths.select("file_id", "target"), "file_id"), "target")
+    time = sources.groupBy(F.col("cmake_target").alias("target")).agg(F.sum("compile_time_ms").alias("ms"))
+    return mt.ownership_risk(c, time, 200, 0.005)
+
+
+@query("""select 'slowest' as view, source_file, cast(compile_time_ms as double) figure from sources union all select 'template', source_file, round(case when compile_time_ms > 0 then compiler_template_instantiation_ms / compile_time_ms else 0 end, 6) from sources where compile_time_ms > 0
+ union all select 'bloat', source_file, round(preprocessed_bytes / nullif(source_size_bytes, 0), 6) from sources where source_size_bytes >= 512 union all select 'throughput', source_file, round(code_lines / (compile_time_ms / 1000.0), 6) from sources where code_lines >= 50 and compile_time_ms > 0""", ("sources",))
+def slow_files(sources):
+    files, out = co.derived_ratios(sources).withColumn("compiler_total_time_ms", F.col("compile_time_ms").cast("double")), None
+    for view in ("slowest", "template", "bloat", "throughput"):
+        one = mt.slow_files(files, view).select(F.lit(view).alias("view"), "source_file", "figure")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- exported graphs
 
 _OWN = """rw_ as (select l.file_id node, case when is_resolved then canonical end canonical, case when is_resolved then team end team, l.contributor, coalesce(is_resolved, false) r from commit_log l left join identities using (contributor)),
