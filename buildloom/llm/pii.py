@@ -62,24 +62,47 @@ def _likely(kind: str, text: Column) -> Column:
     return text.rlike("[0-9]") if kind != "phone" else text.rlike(r"[0-9][0-9().\x20/+-]{5}")
 
 
-def matches(text: Column, pattern: str, likely: Column) -> Column:
-    """array<struct<start, end, match, before, after>> of a pattern's leftmost matches, in code points.
+#: matches whose lengths are summed up as one
+BLOCK = 256
 
-    The pieces between matches give the places: a match starts where the pieces and matches before it end."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.array(F.struct(found.alias("m"), gaps.alias("g")))  # each is computed once
-    zipped = F.flatten(F.transform(both, lambda p: F.transform(p["m"], lambda m, i: F.struct(m.alias("m"), F.char_length(F.get(p["g"], i)).alias("skip"), F.right(F.get(p["g"], i), F.lit(24)).alias("before"), F.left(F.get(p["g"], i + 1), F.lit(1)).alias("after")))))
+
+def matches(text: Column, pattern: str, likely: Column, good=None) -> Column:
+    """array<struct<start, end, match, before, after>> of a pattern's leftmost matches for which good(match) holds, in code points.
+
+    The pieces between matches give the places: a match starts where the pieces and matches before it
+    end.  These lengths are summed by blocks of `BLOCK` matches and then within a block, for the good
+    ones alone, so a text of very many matches takes time in proportion to them."""
     kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
     none = F.array().cast(kind)
+    once = lambda value, then: F.flatten(F.transform(F.array(value), then))  # noqa: E731  binds a value, so that it is made once
+    add = lambda steps: F.aggregate(steps, F.lit(0), lambda t, x: t + x)
+
+    def zipped(p: Column) -> Column:
+        piece = lambda i: F.get(p["g"], i)
+        return F.transform(p["m"], lambda m, i: F.struct(i.alias("i"), m.alias("m"), F.char_length(piece(i)).alias("skip"), F.char_length(m).alias("long"), F.right(piece(i), F.lit(24)).alias("before"), F.left(piece(i + 1), F.lit(1)).alias("after")))
+
+    def placed(w: Column) -> Column:
+        def one(x: Column) -> Column:
+            block = F.floor(x["i"] / BLOCK).cast("int")
+            start = F.get(w["sums"], block) + add(F.slice(w["steps"], block * BLOCK + 1, x["i"] % BLOCK)) + x["skip"]
+            return F.struct(start.alias("start"), (start + x["long"]).alias("end"), x["m"].alias("match"), x["before"].alias("before"), x["after"].alias("after"))
+
+        return F.transform(w["kept"], one).cast(kind)
+
+    def summed(w: Column) -> Column:
+        last = F.size(w["blocks"])
+        sums = F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda b: add(F.slice(w["blocks"], F.lit(1), b)))
+        return once(F.struct(w["kept"].alias("kept"), w["steps"].alias("steps"), sums.alias("sums")), placed)
 
-    def add(done, x):
-        start = done["at"] + x["skip"]
-        end = start + F.char_length(x["m"])
-        item = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(item)).cast(kind).alias("out"))
+    def stepped(z: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(z["all"]) / BLOCK).cast("int")), lambda b: add(F.slice(z["steps"], b * BLOCK + 1, F.lit(BLOCK))))
+        kept = F.filter(z["all"], lambda x: good(x["m"])) if good else z["all"]
+        return once(F.struct(kept.alias("kept"), z["steps"].alias("steps"), blocks.alias("blocks")), summed)
 
-    placed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda done: done["out"])
-    return F.when(likely, placed).otherwise(none)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    every = once(found, lambda p: F.array(F.struct(zipped(p).alias("all"))))
+    out = F.flatten(F.transform(every, lambda z: once(F.struct(z["all"].alias("all"), F.transform(z["all"], lambda x: x["skip"] + x["long"]).alias("steps")), stepped)))
+    return F.when(likely, out).otherwise(none)
 
 
 def _digits(x: Column) -> Column:
@@ -114,7 +137,7 @@ def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end>>, kind 0 to 3 as in KINDS, sorted."""
 
     def of(i: int, k: str) -> Column:
-        good = F.filter(matches(text, BASE[k], _likely(k, text)), lambda x: _passes(k, x["match"]))
+        good = matches(text, BASE[k], _likely(k, text), lambda m: _passes(k, m))
         return F.transform(good, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(KINDS))))
