@@ -21,6 +21,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 LEAST = 0.8
 
 # Sentences of public license notices, by SPDX identifier.
@@ -164,7 +166,8 @@ def license_scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id",
     an empty table gives an empty result; other columns are not read.  The templates, a fixed list,
     are broadcast."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    hits = _hits(rows.withColumn("row", F.struct("row", "id")), least)  # the id goes with the row
+    # the id goes with the row; the texts are read once, for windows are made of the few hits twice
+    hits = written(_hits(rows.withColumn("row", F.struct("row", "id")), least), "hits")
     found = _places(_windows(hits, least))
     return found.select(F.col("row.id").alias(id_col), F.col("first").cast("long").alias("word"), (F.col("last") - F.col("first") + 2).cast("long").alias("words"), "license", F.round("dice", 6).alias("dice"))
 
