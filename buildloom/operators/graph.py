@@ -334,6 +334,8 @@ def simulate(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, cost: str
     spark = nodes.sparkSession
     kind = F.col("kind") if "kind" in nodes.columns else F.lit(None).cast("string")
     pool = F.col("pool") if "pool" in nodes.columns else F.lit(None).cast("string")
+    if nodes.limit(TASK_EDGES + 1).count() > TASK_EDGES:
+        raise ValueError(f"a schedule is one task's work, of {TASK_EDGES} targets at most")
     rows = nodes.select("node", F.coalesce(cost, F.lit(0)).cast("long"), kind, pool).collect()
     times = {r[0]: r[1] for r in rows}
     deps = defaultdict(list)

@@ -77,14 +77,26 @@ def assign_modules(rows: DataFrame, column: str, patterns: list[tuple[str, str]]
     return rows.withColumn("module", out)
 
 
+#: stretches of costs, of as many rows each, that the frontier is looked for in side by side
+STRETCHES = 64
+
+
 def pareto(df: DataFrame, gain: str, cost: str, key: str) -> DataFrame:
     """Rows that no other row beats: none with as much gain for no more cost, and better in one of the two.
 
-    The best gain of each cost comes first, then a running maximum over the distinct costs; effort below 2 is quick_win, up to 10 medium."""
+    The best gain of each cost comes first, then a running maximum over the distinct costs: within
+    stretches of costs, and over the stretches, so no task holds all costs.  Effort below 2 is
+    quick_win, up to 10 medium."""
     best = df.groupBy(cost).agg(F.max(gain).alias("__best"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("__before", F.max("__best").over(cheaper))
-    top = best.where(F.col("__before").isNull() | (F.col("__best") > F.col("__before")))
+    marks = best.agg(F.percentile_approx(cost, [i / STRETCHES for i in range(STRETCHES)])).head()[0] or []
+    at = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(marks)))), lambda x: x <= F.col(cost))) if marks else F.lit(0)
+    best = best.withColumn("__at", at)
+    tops = best.groupBy("__at").agg(F.max("__best").alias("__top"))
+    tops = tops.select("__at", F.max("__top").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)).alias("__below"))  # a row for each stretch
+    cheaper = Window.partitionBy("__at").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("__before", F.max("__best").over(cheaper)).join(F.broadcast(tops), "__at")
+    beaten = F.greatest("__before", "__below")  # nulls are passed over
+    top = best.where(beaten.isNull() | (F.col("__best") > beaten))
     out = df.join(top.select(cost, "__best"), cost).where(F.col(gain) == F.col("__best")).drop("__best")
     effort = F.when(F.col(cost) < 2, "quick_win").when(F.col(cost) <= 10, "medium").otherwise("strategic")
     return out.select(key, gain, cost, effort.alias("category"))

@@ -13,6 +13,7 @@ from ..operators import metrics as m
 from ..sources import cmake as cm
 from ..sources import parsers as ps
 from ..sources.dataset import Dataset, Snapshots, conform
+from ..streaming import ingest
 from .registry import query
 
 
@@ -25,12 +26,37 @@ def put(df, name: str, kind: str = "text", **options) -> str:
 
 @query("select cast(commit_id as varchar) commit_hash, concat('c', contributor, '@x.org') author_email, concat('fix COMMIT:', commit_id, ' | part') message, added lines_added, deleted lines_deleted, concat('/top/src/f', file_id, '.cpp') source_file from commit_log where line_no <> 7", ("commit_log",))
 def git_log(log):
+    return _commits(ps.git_log(log.sparkSession, _written_log(log), "/top/"))
+
+
+def _commits(rows):
+    return rows.select("commit_hash", "author_email", "message", "lines_added", "lines_deleted", "source_file")
+
+
+def _written_log(log):
+    """The commit log as a folder of logs."""
     # a line of 7 is a binary file, and subjects quote records
     line = F.when(F.col("line_no") == 7, F.concat(F.lit("-\t-\tsrc/f"), "file_id", F.lit(".bin"))).otherwise(F.concat("added", F.lit("\t"), "deleted", F.lit("\tsrc/./f"), "file_id", F.lit(".cpp")))
     head = F.concat(F.lit("COMMIT:"), "commit_id", F.lit("|"), F.date_format("ts", "yyyy-MM-dd"), F.lit("|Ann "), "contributor", F.lit("|c"), "contributor", F.lit("@x.org|fix COMMIT:"), "commit_id", F.lit(" | part"))
     record = log.groupBy("commit_id").agg(F.first(head).alias("head"), F.collect_list(line).alias("lines"))
-    path = put(record.select(F.concat("head", F.lit("\n\n"), F.array_join("lines", "\n")).alias("value")), "gitlog")
-    return ps.git_log(log.sparkSession, path, "/top/").select("commit_hash", "author_email", "message", "lines_added", "lines_deleted", "source_file")
+    return put(record.select(F.concat("head", F.lit("\n\n"), F.array_join("lines", "\n")).alias("value")), "gitlog")
+
+
+@query("select cast(commit_id as varchar) commit_hash, concat('c', contributor, '@x.org') author_email, concat('fix COMMIT:', commit_id, ' | part') message, added lines_added, deleted lines_deleted, concat('/top/src/f', file_id, '.cpp') source_file from commit_log where line_no <> 7", ("commit_log",))
+def streamed_commits(log):
+    spark, out = log.sparkSession, f"{shared_dir(log.sparkSession)}/streamed-{uuid.uuid4().hex}"
+    stream = ingest.commits(spark, _written_log(log), "/top/")
+    ingest.append(stream, out, f"{out}-progress").awaitTermination()
+    return _commits(spark.read.schema(stream.schema).parquet(out))
+
+
+@query("select epoch_us(time_bucket(interval '1 hour', make_timestamp(start_ms * 1000))) // 1000 start_ms, step_type, count(*) steps, cast(sum(end_ms - start_ms) as bigint) ms from steps group by 1, 2", ("steps",))
+def streamed_step_windows(steps):
+    spark, out = steps.sparkSession, f"{shared_dir(steps.sparkSession)}/windows-{uuid.uuid4().hex}"
+    rows = steps.select(F.timestamp_millis("start_ms").alias("ts"), "step_type", (F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    stream = spark.readStream.schema(rows.schema).parquet(put(rows, "steps", "parquet"))
+    ingest.replace(ingest.step_windows(stream), out, f"{out}-progress").awaitTermination()
+    return spark.read.parquet(out).select(F.unix_millis("start").alias("start_ms"), "step_type", "steps", "ms")
 
 
 _OUT = "case file_id % 6 when 0 then concat('a/f', file_id, '.cpp.o') when 1 then concat('lib/l', file_id, '.a') when 2 then concat('lib/l', file_id, '.so') when 3 then concat('bin/f', file_id) when 4 then concat('gen/f', file_id, '.cpp') else concat('doc/f', file_id) end"

@@ -1 +1 @@
-
+"""Logs that keep growing, read as streams."""
