@@ -89,6 +89,13 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def layer_violations(edges: DataFrame, layers: DataFrame) -> DataFrame:
+    """(src, dst, src_layer, dst_layer, violation) of the edges that do not lead to a lower layer(node, layer): lateral within one, else upward; ends without a layer are left out."""
+    at = lambda end: layers.select(F.col("node").alias(end), F.col("layer").alias(f"{end}_layer"))
+    e = edges.select("src", "dst").join(at("src"), "src").join(at("dst"), "dst").where("dst_layer >= src_layer")
+    return e.select("src", "dst", "src_layer", "dst_layer", F.when(F.col("src_layer") == F.col("dst_layer"), "lateral").otherwise("upward").alias("violation"))
+
+
 def critical_path(nodes: DataFrame, edges: DataFrame, cost: str = "ms") -> DataFrame:
     """(node, cost, start, finish, slack, critical): earliest times, and how far each node can slip."""
     down, up = longest(nodes, edges, cost), longest(nodes, reverse(edges), cost)

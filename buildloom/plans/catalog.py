@@ -231,8 +231,8 @@ def topological_depth(edges, nodes):
 
 @query("select src, dst, src % 10 as src_layer, dst % 10 as dst_layer, case when src % 10 = dst % 10 then 'lateral' else 'upward' end as violation from edges where dst % 10 >= src % 10", (EDGES,))
 def layer_violations(edges):
-    a, b = F.col("src") % 10, F.col("dst") % 10
-    return edges.select("src", "dst", a.alias("src_layer"), b.alias("dst_layer"), F.when(a == b, "lateral").otherwise("upward").alias("violation")).where("dst_layer >= src_layer")
+    own = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", (F.col("node") % 10).alias("layer"))
+    return g.layer_violations(edges, own)
 
 
 _CP = """>f(node, finish) as (select node, ms from nodes union select e.src, f.finish + n.ms from f join edges e on e.dst = f.node join nodes n on n.node = e.src),
