@@ -114,29 +114,35 @@ class CodeModel:
 REPORTS, WRAPPER = ("-ftime-report", "-H"), "capture_stderr"
 
 
-@F.pandas_udf("string")
-def preprocess_command(command: pd.Series) -> pd.Series:
-    """A compile command that preprocesses to standard output: without output file, reports and wrapper.  Null if a command cannot be split."""
+def preprocess_command(command: Column) -> Column:
+    """A compile command that preprocesses to standard output: without output file, reports and wrapper.  Null if a command cannot be split.
+
+    Quoting follows the shell's rules, which columns cannot tell, so this is a function over batches in Python."""
+
+    def batch(commands: pd.Series) -> pd.Series:
+        return commands.map(_preprocessing)
+
+    return F.pandas_udf(batch, "string")(command)
+
+
+def _preprocessing(text: str | None) -> str | None:
     import shlex
 
-    def one(text):
-        try:
-            words = shlex.split(text) if text is not None else None
-        except ValueError:
-            return None
-        if words is None:
-            return None
-        kept, skip = [], False
-        for w in words:
-            if skip:
-                skip = False
-            elif w == "-o":
-                skip = True
-            elif w not in REPORTS and WRAPPER not in w:
-                kept.append(w)
-        return " ".join(shlex.quote(w) for w in [*kept[:1], *(["-E"] if kept else []), *kept[1:]])
-
-    return command.map(one)
+    try:
+        words = shlex.split(text) if text is not None else None
+    except ValueError:
+        return None
+    if words is None:
+        return None
+    kept, skip = [], False
+    for w in words:
+        if skip:
+            skip = False
+        elif w == "-o":
+            skip = True
+        elif w not in REPORTS and WRAPPER not in w:
+            kept.append(w)
+    return " ".join(shlex.quote(w) for w in [*kept[:1], *(["-E"] if kept else []), *kept[1:]])
 
 
 def object_parts(path: Column) -> tuple[Column, Column]:

@@ -84,3 +84,20 @@ def test_line_counts(spark):
     text = "// comment\n\nint a;\n/* open\n still\n end */\nint b; /* not a block\nint c;\n"
     r = m.line_counts(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").collect()[0]
     assert (r.blank, r.comment, r.code) == (1, 4, 3)
+
+
+def test_the_entry_needs_no_session_to_be_imported():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    ask = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 150"
+    assert subprocess.run([sys.executable, "-c", ask], cwd=root, capture_output=True).returncode == 0
+
+
+def test_preprocess_commands():
+    from buildloom.sources import cmake as cm
+
+    assert cm._preprocessing("/x/capture_stderr.sh c++ -O2 -H '-DN=a b' -o out.o -ftime-report m.cpp") == "c++ -E -O2 '-DN=a b' m.cpp"
+    assert cm._preprocessing("broken 'quote") is None and cm._preprocessing(None) is None and cm._preprocessing("") == ""
