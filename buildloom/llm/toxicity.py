@@ -19,7 +19,7 @@ from . import textvec as tv
 from .common import held_out
 from .labelled import training_sample
 
-MOST_LABELLED, LEAST_DOCS, HEADS = 6000, 3, (5, 6, 7, 8, 9)
+MOST_LABELLED, LEAST_DOCS, HEADS = 6000, 3, (4, 5, 6, 7, 8, 9)
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[10, 33, 46, 63]] = True  # line end ! . ?
