@@ -83,6 +83,20 @@ def test_ward_matches_the_plain_way():
             assert sorted(sorted(np.flatnonzero(label == c).tolist()) for c in np.unique(label)) == want[k]
 
 
+def test_silhouette_matches_the_plain_way():
+    draw = np.random.default_rng(9)
+    x, label = draw.random((60, 3)), draw.integers(0, 4, 60)
+    label[0] = 9  # alone
+    total = 0.0
+    for i in range(60):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        own = label == label[i]
+        if own.sum() > 1:
+            a, b = d[own].sum() / (own.sum() - 1), min(d[label == k].mean() for k in set(label.tolist()) - {int(label[i])})
+            total += (b - a) / max(a, b)
+    assert cl.silhouette(x, label, 7) == pytest.approx(total / 60)
+
+
 def test_bad_values_fail_and_files_are_found(spark, tmp_path):
     from buildloom.sources import dataset as ds
 
