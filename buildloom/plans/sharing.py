@@ -169,11 +169,11 @@ _RISK = """n as (select f.target, contributor, count(distinct commit_id) n from
  c as (select target, (2 * sum(k * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)) gini, max(n) / sum(n) top_share, count(*) contributors, cast(sum(n) as bigint) commits from r group by 1), b as (select cmake_target target, sum(compile_time_ms) ms from sources group by 1)"""
 
 
-@query(f">{_RISK} select target, contributors, round(top_share, 6) top_share, round(gini, 6) gini, commits, round(top_share * gini * sqrt(ms), 6) risk from c join b using (target) where contributors <= 200 and top_share >= 0.005", (LOG, "paths", "sources"))
+@query(f">{_RISK} select target, contributors, round(top_share, 6) top_share, round(gini, 6) gini, commits, round(top_share * gini * sqrt(ms), 6) risk from c join b using (target) where contributors <= 500 and top_share >= 0.0055", (LOG, "paths", "sources"))
 def ownership_risk(log, paths, sources):
     c = h.concentration(log.join(paths.select("file_id", "target"), "file_id"), "target")
     time = sources.groupBy(F.col("cmake_target").alias("target")).agg(F.sum("compile_time_ms").alias("ms"))
-    return mt.ownership_risk(c, time, 200, 0.005)
+    return mt.ownership_risk(c, time, 500, 0.0055)
 
 
 @query("""select 'slowest' as view, source_file, cast(compile_time_ms as double) figure from sources union all select 'template', source_file, round(case when compile_time_ms > 0 then compiler_template_instantiation_ms / compile_time_ms else 0 end, 6) from sources where compile_time_ms > 0
