@@ -73,7 +73,7 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
 
 
 #: texts handed to Python at once, so that neither side holds many MB of them
-TEXTS_AT_ONCE = 1000
+TEXTS_AT_ONCE = 500
 
 
 def ship(spark: SparkSession) -> None:
