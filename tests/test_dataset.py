@@ -4,6 +4,7 @@ import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from buildloom.operators import clusters as cl
 from buildloom.operators import recommend as rc
@@ -147,3 +148,22 @@ def test_header_interventions_round_and_cut_as_the_sql(spark):
     con.execute("delete from h where file_id >= 6")
     got = rc.header_interventions(spark.createDataFrame(few, "header long, fan_in long, size long, direct long"))
     assert [tuple(r)[1:3] for r in got.collect()] == [r[1:3] for r in con.execute(sql).fetchall()]
+
+
+def test_target_summary_shows_ratios_as_the_sql(spark):
+    import duckdb
+    from buildloom.plans import catalog, consolidation
+
+    # shares that six places round to the half of a hundredth of a percent
+    shares = [(95, 107), (37, 109), (72, 109), (1, 113), (50, 117), (38, 121), (1, 32), (0, 3)]
+    con = duckdb.connect()
+    con.execute("create table sources(cmake_target varchar, is_generated boolean)")
+    con.executemany("insert into sources select ?, i < ? from range(?) t(i)", [(f"{a}/{b}", a, b) for a, b in shares])
+    names = ("compile_time_ms", "code_lines", "object_size_bytes", "preprocessed_bytes", "source_size_bytes", "header_max_depth", "unique_headers", "total_includes", "git_commit_count", "git_churn", "git_distinct_authors",
+             "compiler_parse_time_ms", "compiler_template_instantiation_ms", "compiler_codegen_time_ms", "compiler_optimization_time_ms", "compiler_total_usr_ms", "compiler_total_sys_ms")
+    con.execute("create or replace table sources as select *, " + ", ".join(f"cast(7 as bigint) {n}" for n in names) + " from sources")
+    rows = con.execute("select * from sources").fetchall()
+    frame = spark.createDataFrame(rows, "cmake_target string, is_generated boolean, " + ", ".join(f"{n} long" for n in names)).withColumn("source_file", F.lit("f"))
+    sql = catalog.oracle_sql()["target_summary"]
+    want = con.execute("with " + sql[sql.index("fm as (select") :]).fetchall()
+    assert sorted(map(tuple, consolidation.target_summary(frame).collect())) == sorted(want)
