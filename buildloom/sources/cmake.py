@@ -61,10 +61,11 @@ class CodeModel:
 
     def files(self) -> DataFrame:
         """(target, position, path, is_generated, group, language) of all sources; a generated one's relative path begins at the build folder."""
-        rows = self.targets.select("ord", "target", F.posexplode(F.coalesce("body.sources", F.array())).alias("position", "s"), F.col("body.compileGroups").alias("groups"))
-        made = F.coalesce("s.isGenerated", F.lit(False))
-        base = F.when(made, F.lit(self.build_dir)).otherwise(F.lit(self.source_dir))
-        return rows.select("ord", "target", "position", resolved_path(F.col("s.path"), base).alias("path"), made.alias("is_generated"), F.col("s.compileGroupIndex").alias("group"), F.get("groups", F.col("s.compileGroupIndex"))["language"].alias("language"))
+        own = lambda s: F.struct(s["path"].alias("path"), F.coalesce(s["isGenerated"], F.lit(False)).alias("made"), s["compileGroupIndex"].alias("group"), F.get("body.compileGroups", s["compileGroupIndex"])["language"].alias("language"))
+        # a source takes its language along, so that no row of a source holds its target's whole reply
+        rows = self.targets.select("ord", "target", F.posexplode(F.transform(F.coalesce("body.sources", F.array()), own)).alias("position", "s"))
+        base = F.when(F.col("s.made"), F.lit(self.build_dir)).otherwise(F.lit(self.source_dir))
+        return rows.select("ord", "target", "position", resolved_path(F.col("s.path"), base).alias("path"), F.col("s.made").alias("is_generated"), F.col("s.group").alias("group"), F.col("s.language").alias("language"))
 
     def file_index(self) -> DataFrame:
         """(path, target): of a file of several targets the last one counts."""

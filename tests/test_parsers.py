@@ -101,3 +101,19 @@ def test_preprocess_commands():
 
     assert cm._preprocessing("/x/capture_stderr.sh c++ -O2 -H '-DN=a b' -o out.o -ftime-report m.cpp") == "c++ -E -O2 '-DN=a b' m.cpp"
     assert cm._preprocessing("broken 'quote") is None and cm._preprocessing(None) is None and cm._preprocessing("") == ""
+
+
+def test_a_source_row_does_not_hold_its_targets_reply(spark):
+    import json
+    import re
+
+    from buildloom.sources import cmake as cm
+
+    target = {"name": "t", "id": "t::1", "sources": [{"path": "a.cpp", "compileGroupIndex": 1}, {"path": "b.h"}, {"path": "/x/c.c", "isGenerated": True, "compileGroupIndex": 0}, {"path": "d.c", "compileGroupIndex": 7}], "compileGroups": [{"language": "C"}, {"language": "CXX"}]}
+    index = {"objects": [{"kind": "codemodel", "jsonFile": "m.json", "version": {"major": 2, "minor": 9}}]}
+    model = {"configurations": [{"targets": [{"id": "t::1", "name": "t", "jsonFile": "t.json"}]}]}
+    files = cm.CodeModel(spark.createDataFrame([("index-1.json", json.dumps(index)), ("m.json", json.dumps(model)), ("t.json", json.dumps(target))], "name string, json string"), "/top", "/top/b").files()
+    assert [(r.position, r.path, r.is_generated, r.group, r.language) for r in files.orderBy("position").collect()] == [(0, "/top/a.cpp", False, 1, "CXX"), (1, "/top/b.h", False, None, None), (2, "/x/c.c", True, 0, "C"), (3, "/top/d.c", False, 7, None)]
+    # what each exploded row carries along, besides its own source
+    (kept,) = re.findall(r"Generate posexplode\(.*\), \[([^\[\]]*)\], false, \[position", files._jdf.queryExecution().sparkPlan().toString())
+    assert {x.split("#")[0] for x in kept.split(", ")} == {"ord", "target"}
