@@ -167,3 +167,20 @@ def test_target_summary_shows_ratios_as_the_sql(spark):
     sql = catalog.oracle_sql()["target_summary"]
     want = con.execute("with " + sql[sql.index("fm as (select") :]).fetchall()
     assert sorted(map(tuple, consolidation.target_summary(frame).collect())) == sorted(want)
+
+
+def test_equal_rows_count_as_often_as_they_are_there(spark):
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 9, (40, 5)).astype(float)
+    times = draw.integers(1, 5, 40)
+    which = np.repeat(np.arange(40), times)
+    for k, label in cl.ward(cl.divergence(x), [2, 4, 6], times).items():
+        assert label[which].tolist() == cl.ward(cl.divergence(x[which]), [k])[k].tolist()
+    label = draw.integers(0, 4, 40)
+    assert sum(cl._silhouettes(x, times.astype(float), [label], 0, 40)) / times.sum() == pytest.approx(cl.silhouette(x[which], label[which]))
+    # so many rows that their distances would be 900 million cells: 200 different ones
+    kinds = np.unique(draw.integers(0, 5, (330, 4)), axis=0)[:200] + [[1, 0, 0, 0]]
+    long = spark.createDataFrame([(i,) for i in range(30_000)], "who long").withColumn("n", F.element_at(F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in kinds)), (F.col("who") % 200 + 1).cast("int")))
+    long = long.select("who", F.posexplode("n").alias("what", "n")).where("n > 0")
+    got = {(r.who, r.clusters): r.group_id for r in cl.hierarchy(long, "who", "what", "n", (3, 5)).collect()}
+    assert len(got) == 60_000 and all(got[i, k] == got[i % 200, k] for i, k in got)
