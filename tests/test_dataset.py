@@ -184,3 +184,8 @@ def test_equal_rows_count_as_often_as_they_are_there(spark):
     long = long.select("who", F.posexplode("n").alias("what", "n")).where("n > 0")
     got = {(r.who, r.clusters): r.group_id for r in cl.hierarchy(long, "who", "what", "n", (3, 5)).collect()}
     assert len(got) == 60_000 and all(got[i, k] == got[i % 200, k] for i, k in got)
+    rows = cl.factor_groups(long, "who", "what", "n", 2, 3).collect()
+    assert len(rows) == 60_000 and len({r.clusters for r in rows if r.best}) == 1
+    a = {k: {r.who: r.group_id for r in rows if r.clusters == k} for k in (2, 3)}
+    few = kinds[np.arange(3_000) % 200].astype(float)
+    assert next(r.silhouette for r in rows if r.clusters == 2) == pytest.approx(cl.silhouette(few, np.array([a[2][i] for i in range(3_000)])), abs=5e-3)
