@@ -4,9 +4,9 @@ Texts are cut into blocks of `BLOCK` words; two blocks in a row are a passage.
 vector holds TF-IDF weights of the words that the benchmark has at all (idf counted over all blocks
 of all documents; words in a hundredth of the blocks weigh nothing), projected onto the leading
 right singular vectors of a randomised SVD; its length is that of all its words, so words that the
-benchmark lacks make it less like any item.  The SVD is fitted on the benchmark's passages and on
-those of about `SAMPLE` passages' worth of documents, chosen by a hash of the text, either as heavy
-as the other: each task adds up its share of A'(A*Omega), the shares meet by rows of features, and only matrices of the
+benchmark lacks make it less like any item.  The SVD is fitted on the blocks of the benchmark and on
+those of all documents, either as heavy as the other: the blocks are written once as numbers of features, each task
+adds up its share of A'(A*Omega), the shares meet by rows of features, and only matrices of the
 benchmark's words by `RANK` numbers reach the driver.
 
 Every passage of every document is then compared by cosine with every benchmark passage (the
@@ -31,7 +31,6 @@ from . import textvec as tv
 from .common import written
 
 BLOCK, RANK, EXTRA = 16, 256, 16
-SAMPLE = 30_000
 COMMON_SHARE = 0.01
 LEAST_COSINE, LEAST_SHARE, LEAST_ANSWER = 0.35, 0.6, 0.5
 _CHUNK = 1024  # features summed as one row
@@ -123,27 +122,49 @@ def passage_vectors(words: np.ndarray, woffs: np.ndarray, held: Words, rows: np.
     return both, begin, boffs
 
 
+def _encoded(words_held):
+    """(features, sizes, scales): the weighing words of the blocks of some texts, how many each block has, and what each block's row is multiplied by; texts are (text, weight)."""
+
+    def run(batches):
+        held = words_held.value
+        for batch in batches:
+            weight = np.asarray(batch.column(1))
+            for lo, hi, words, woffs in _texts(batch, 0):
+                begin, boffs = blocks_of(words, woffs)
+                _, mass, feature, block = _block_rows(words, begin, held, np.zeros((len(held.known), 0), np.float32))
+                if not len(feature):
+                    continue
+                sizes = np.bincount(block, minlength=len(begin))
+                scale = np.sqrt(np.repeat(weight[lo:hi], np.diff(boffs)) / np.maximum(mass, 1e-9))
+                some = np.flatnonzero(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (feature.astype(np.int32), sizes[some].astype(np.uint8), scale[some].astype(np.float32))], names=["features", "sizes", "scales"])
+
+    return run
+
+
 def _project(words_held, step):
-    """Each task's share of A'(A X) for X = step (features x columns), by chunks of features; with chunk -1: (A X)'(A X)."""
+    """Each task's share of A'(A X) for X = step (features x columns) over the rows of encoded blocks, by chunks of features; with chunk -1: (A X)'(A X)."""
 
     def run(batches):
         held, x = words_held.value, step.value
-        rows = (x * held.weight[:, None]).astype(np.float32)
+        weight = held.weight.astype(np.float32)
+        rows = x * weight[:, None]
         got, inner = np.zeros(x.shape, np.float32), np.zeros((x.shape[1], x.shape[1]))
         for batch in batches:
-            for _, _, words, woffs in _texts(batch, 0):
-                begin, _ = blocks_of(words, woffs)
-                if not len(begin):
-                    continue
-                y, mass, feature, block = _block_rows(words, begin, held, rows)
-                scale = (1 / np.sqrt(np.maximum(mass, 1e-9))).astype(np.float32)
-                y *= scale[:, None]
-                inner += y.T @ y
-                order = np.argsort(feature, kind="stable")
-                f, b = feature[order], block[order]
-                first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
-                if len(f):
-                    got[f[first]] += np.add.reduceat(y[b] * (scale[b] * held.weight[f].astype(np.float32))[:, None], first, axis=0)
+            for f, n, scale in zip(*(batch.column(i) for i in range(3))):
+                f, n, scale = np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.uint8).astype(np.int64), np.frombuffer(scale.as_buffer(), np.float32)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                for lo in range(0, len(n), 512):  # a few thousand rows at a time stay in cache
+                    hi = min(lo + 512, len(n))
+                    g = f[ends[lo] : ends[hi]]
+                    y = np.add.reduceat(rows[g], ends[lo:hi] - ends[lo], axis=0) * scale[lo:hi, None]
+                    inner += y.T @ y
+                    b = np.repeat(np.arange(hi - lo), n[lo:hi])
+                    order = np.argsort(g, kind="stable")
+                    g, b = g[order], b[order]
+                    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                    y *= scale[lo:hi, None]
+                    got[g[first]] += np.add.reduceat(y[b], first, axis=0) * weight[g[first], None]
         parts = [(c // _CHUNK, got[c : c + _CHUNK].tobytes()) for c in range(0, len(got), _CHUNK) if got[c : c + _CHUNK].any()]
         parts.append((-1, inner.astype(np.float32).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in parts], pa.int32()), pa.array([r[1] for r in parts], pa.binary())], names=["chunk", "part"])
@@ -151,6 +172,68 @@ def _project(words_held, step):
     return run
 
 
+#: words of a benchmark up to which A'A is summed once; it has so many numbers squared
+GRAM = 6000
+_ROWS = 256  # of A'A as one row
+
+
+def _gram(words_held):
+    """Each task's share of A'A over the rows of encoded blocks, as places and numbers other than 0 of `_ROWS` of its rows at a time."""
+
+    def run(batches):
+        held = words_held.value
+        weight, size = held.weight.astype(np.float32), len(held.known)
+        got = np.zeros(size * size, np.float32)
+        for batch in batches:
+            for f, n, scale in zip(*(batch.column(i) for i in range(3))):
+                f, n, scale = np.frombuffer(f.as_buffer(), np.int32).astype(np.int64), np.frombuffer(n.as_buffer(), np.uint8).astype(np.int64), np.frombuffer(scale.as_buffer(), np.float32)
+                x, left = weight[f] * np.repeat(scale, n), np.repeat(np.cumsum(n), n) - np.arange(len(f))
+                np.add.at(got, f * (size + 1), x * x)
+                at = np.flatnonzero(left > 1)
+                for far in range(1, int(n.max(initial=0))):  # words so far apart in one block
+                    a, b = f[at], f[at + far]
+                    np.add.at(got, np.minimum(a, b) * size + np.maximum(a, b), x[at] * x[at + far] * (1 + (a == b)))
+                    at = at[left[at] > far + 1]
+        got = got.reshape(size, size)
+        ends = got.diagonal().copy()
+        got += got.T
+        np.fill_diagonal(got, ends)
+        for c in range(0, size, _ROWS):
+            flat = got[c : c + _ROWS].reshape(-1)
+            some = np.flatnonzero(flat)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([c // _ROWS], pa.int32()), pa.array([some.astype(np.int32).tobytes() + flat[some].tobytes()], pa.binary())], names=["chunk", "part"])
+
+    return run
+
+
+def _gram_total(size: int):
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(_ROWS * size, np.float32)
+        for p in table["part"]:
+            b = p.as_buffer()
+            total[np.frombuffer(b, np.int32, len(b) // 8)] += np.frombuffer(b, np.float32, len(b) // 8, len(b) // 2)
+        some = np.flatnonzero(total)
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "part": pa.array([some.astype(np.int32).tobytes() + total[some].tobytes()], pa.binary())})
+
+    return run
+
+
+def _times_gram(step):
+    """The rows of A'A X of each chunk."""
+
+    def run(batches):
+        x = step.value
+        for batch in batches:
+            for c, p in zip(batch.column(0).to_pylist(), batch.column(1)):
+                b, m = p.as_buffer(), np.zeros(_ROWS * len(x), np.float32)
+                m[np.frombuffer(b, np.int32, len(b) // 8)] = np.frombuffer(b, np.float32, len(b) // 8, len(b) // 2)
+                rows = min(_ROWS, len(x) - c * _ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([(m.reshape(_ROWS, -1)[:rows] @ x).tobytes()], pa.binary())], names=["chunk", "part"])
+
+    return run
+
+
 #: tasks' matrices of one chunk that are summed as one group
 _FAN = 32
 
@@ -163,24 +246,36 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"].slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def _summed(parts: DataFrame, tasks: int) -> DataFrame:
+def _summed(parts: DataFrame, tasks: int, total=_total) -> DataFrame:
     """(chunk, part) with the sum of each chunk's matrices, `_FAN` of them in a group at a time, so that no task holds those of all tasks."""
     while tasks > _FAN:
         tasks = -(-tasks // _FAN)
-        parts = written(parts.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(tasks))).groupBy("chunk", "group").applyInArrow(_total, "chunk int, part binary"), "sums")
-    return parts.groupBy("chunk").applyInArrow(_total, "chunk int, part binary")
+        parts = written(parts.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(tasks))).groupBy("chunk", "group").applyInArrow(total, "chunk int, part binary"), "sums")
+    return parts.groupBy("chunk").applyInArrow(total, "chunk int, part binary")
 
 
 def randomised_svd(passages: DataFrame, held: Words, rank: int = RANK, extra: int = EXTRA, rounds: int = 2, seed: int = 1) -> np.ndarray:
-    """The leading right singular vectors (features x rank, or as many as there are features) of the TF-IDF rows of passages(text).
+    """The leading right singular vectors (features x rank, or as many as there are features) of the TF-IDF rows of the blocks of passages(text, weight); a weight counts a text's rows so many times.
 
-    Subspace iteration from a random start; the rows stay where they are, and each round moves
-    one matrix of features x (rank + extra) for each task."""
+    Subspace iteration from a random start; the texts are read once and their blocks written as
+    numbers of features.  With up to `GRAM` features A'A is summed once and each round multiplies
+    it; else the rows stay where they are, and each round moves one matrix of features x (rank +
+    extra) for each task."""
     sc, features = passages.sparkSession.sparkContext, len(held.known)
     columns = min(rank + extra, features)
     weights = sc.broadcast(held)
+    passages = written(passages.select("text", F.col("weight").cast("double")).mapInArrow(_encoded(weights), "features binary, sizes binary, scales binary"), "blocks")
+
+    gram = None
+    if features <= GRAM:
+        gram = written(_summed(passages.mapInArrow(_gram(weights), "chunk int, part binary"), passages.rdd.getNumPartitions(), _gram_total(features)), "gram")
 
     def multiply(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if gram is not None:
+            out = np.zeros((features, columns), np.float32)
+            for r in gram.mapInArrow(_times_gram(sc.broadcast(x)), "chunk int, part binary").collect():
+                out[r[0] * _ROWS : (r[0] + 1) * _ROWS] = np.frombuffer(r[1], np.float32).reshape(-1, columns)
+            return out, x.T.astype(float) @ out
         parts = _summed(passages.mapInArrow(_project(weights, sc.broadcast(x)), "chunk int, part binary"), passages.rdd.getNumPartitions()).toArrow()
         out, inner = np.zeros((features, columns), np.float32), np.zeros((columns, columns))
         for c, p in zip(parts["chunk"].to_pylist(), parts["part"].to_pylist()):
@@ -340,7 +435,7 @@ def _keep(search, column: int):
     return run
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: tuple[float, float, float] = (LEAST_COSINE, LEAST_SHARE, LEAST_ANSWER), sample: int = SAMPLE) -> Search | None:
+def fitted(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: tuple[float, float, float] = (LEAST_COSINE, LEAST_SHARE, LEAST_ANSWER)) -> Search | None:
     """The search for the benchmark's items among docs; None if there is nothing to find or to look through."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -362,12 +457,9 @@ def fitted(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least:
     tell = Words(known, idf.copy())
     idf[df > max(COMMON_SHARE * total, 3 * len(queries))] = 0.0
     held = Words(known, idf, float(idf[idf > 0].mean()) if (idf > 0).any() else 0.0)
-    share = min(1.0, sample / total)
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     # the basis has to tell the benchmark's own passages apart: they count as much as the documents'
-    copies = max(1, round(min(sample, total) / len(blocks_of(qwords, qoffs)[0])))
-    again = benchmark.select(F.col("text").cast("string"), F.explode(F.sequence(F.lit(1), F.lit(copies)))).select("text")
-    passages = written(picked.unionByName(again), "passages")
+    heavy = max(1.0, total / len(blocks_of(qwords, qoffs)[0]))
+    passages = rows.withColumn("weight", F.lit(1.0)).unionByName(benchmark.select(F.col("text").cast("string"), F.lit(heavy).alias("weight")))
     basis = (randomised_svd(passages, held) * idf[:, None]).astype(np.float32)
     vectors, _, boffs = passage_vectors(qwords, qoffs, held, basis)
     vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-6)
@@ -382,7 +474,7 @@ def _parts(benchmark: DataFrame, most: int = BENCHMARK_CHARS) -> list[DataFrame]
     return [benchmark] if n == 1 else [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cosine: float = LEAST_COSINE, least_share: float = LEAST_SHARE, least_answer: float = LEAST_ANSWER, sample: int = SAMPLE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cosine: float = LEAST_COSINE, least_share: float = LEAST_SHARE, least_answer: float = LEAST_ANSWER) -> DataFrame:
     """(id, item_id, share, answer): each document and benchmark item that it holds, with how much of it.
 
     share is the longest common subsequence's part of the item's words, answer the part of its most
@@ -396,7 +488,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = f"id {rows.schema['id'].dataType.simpleString()}, item_id long, share double, answer double"
     out = None
     for part in _parts(benchmark):
-        search = fitted(rows, part, "text", (least_cosine, least_share, least_answer), sample)
+        search = fitted(rows, part, "text", (least_cosine, least_share, least_answer))
         if search is not None:
             found = rows.mapInArrow(_search(spark.sparkContext.broadcast(search)), kind)
             out = found if out is None else out.union(found)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -213,3 +214,46 @@ def test_pipeline(spark, tmp_path):
     assert "<phone>" in texts[5003].text and texts[5003].n_chars == len(texts[5003].text)
     assert all(r.round_trip for r in frame.collect())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(seen[4])
+
+
+def test_the_basis_is_fitted_on_all_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from buildloom.llm import decontam
+    from buildloom.llm import textvec as tv
+
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{draw.integers(0, 40)}" if draw.random() < 0.4 else f"x{draw.integers(0, 900)}" for _ in range(draw.integers(1, 90))) for _ in range(300)]
+    buf, offsets = tv.text_buffer(pa.array([" ".join(f"w{i}" for i in range(40))]))
+    known = np.unique(tv.hash_words(buf, offsets, tv.ALNUM)[0])
+    held = decontam.Words(known, draw.random(40) + 0.5, 0.7)
+    frame = spark.createDataFrame([(t, 1.0 + (i % 3)) for i, t in enumerate(texts)], "text string, weight double")
+    basis, most = decontam.randomised_svd(frame, held, rank=5, extra=35), decontam.GRAM
+    try:
+        decontam.GRAM = 0  # as for a benchmark of more words
+        again = decontam.randomised_svd(frame, held, rank=5, extra=35)
+    finally:
+        decontam.GRAM = most
+    rows = []
+    for i, t in enumerate(texts):
+        buf, offsets = tv.text_buffer(pa.array([t]))
+        words = tv.hash_words(buf, offsets, tv.ALNUM)[0]
+        for lo in range(0, len(words), decontam.BLOCK):
+            row, mass = np.zeros(40), 0.0
+            for w in words[lo : lo + decontam.BLOCK].tolist():
+                at = np.searchsorted(known, w)
+                if at < 40 and known[at] == w:
+                    row[at] += held.weight[at]
+                mass += held.weight[at] ** 2 if at < 40 and known[at] == w else 0.7**2
+            rows.append(row / np.sqrt(mass) * np.sqrt(1.0 + i % 3))
+    want = np.linalg.svd(np.array(rows))[2][:5].T
+    assert max(np.abs(np.abs((b * want).sum(0)) - 1).max() for b in (basis, again)) < 1e-2
+    # every text's blocks are in what the search is fitted on, however many there are
+    seen = []
+    real, decontam.randomised_svd = decontam.randomised_svd, lambda p, h, **how: seen.append(p.agg(F.count("*"), F.sum(F.when(F.col("weight") == 1.0, 1))).head()) or real(p, h, **how)
+    try:
+        many = spark.range(40_000).select(F.concat(F.lit("w1 w2 w3 "), F.expr("repeat(concat('u', id, ' '), 16)")).alias("text"))
+        decontam.fitted(many, spark.createDataFrame([(1, texts[0] + " w1")], "item_id long, text string"))
+    finally:
+        decontam.randomised_svd = real
+    assert seen[0][1] == 40_000
