@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents for fitting."""
+"""Labelled documents for fitting: all, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y) of all labelled documents, by the rules of training_sample."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 0))
+    chosen = chosen.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y) of at most `most` labelled documents, chosen by a hash of the id.
 

@@ -3,7 +3,8 @@
 Preference pairs are a labelled good document against a poor one; the logistic loss of the
 difference of their features fits one weight for each feature, hence a score for each document
 alone.  The cut is the quantile of the fitted documents' scores that best parts the labels, and
-scores are mapped so that it lies at `CUT`.  At most `MOST_LABELLED` labelled rows are fitted on.
+scores are mapped so that it lies at `CUT`.  All labelled rows are fitted on: scales and the cut are
+those of all, and the weights are the mean of those of groups of about `GROUP` rows, fitted side by side.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import held_out
-from .labelled import training_sample
+from .common import held_out, written
+from .labelled import training_rows
 
-MOST_LABELLED, RIVALS, CUT = 8000, 12, 0.3
+GROUP, RIVALS, CUT = 8000, 12, 0.3
 #: bytes of text whose features are worked out at once; each takes some 30 times its size for a moment
 TEXT_BYTES = 1 << 18
 #: bytes at which a text's own shares weigh as much as the average ones
@@ -117,16 +118,17 @@ class Ranker:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(texts, y: np.ndarray, rivals: int = RIVALS, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> Ranker:
-    """Gradient descent (Adam) on the pairs' logistic loss; each poor document meets `rivals` good ones and the reverse, drawn by a fixed seed."""
+def _features_of(texts) -> np.ndarray:
     buf, offsets = tv.text_buffer(texts)
-    x = np.concatenate([features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in tv.groups(offsets, TEXT_BYTES)]) if len(y) else np.zeros((0, len(features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])))
+    if len(offsets) < 2:
+        return features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[:0]
+    return np.concatenate([features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in tv.groups(offsets, TEXT_BYTES)])
+
+
+def weights_of(z: np.ndarray, y: np.ndarray, rivals: int = RIVALS, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
+    """Gradient descent (Adam) on the pairs' logistic loss over scaled features; each poor document meets `rivals` good ones and the reverse, drawn by a fixed seed."""
     good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    width = x.shape[1]
-    if not len(good) or not len(poor):
-        return Ranker(np.zeros(width), np.ones(width), np.zeros(width), -1.0, 1.0)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = standard(x, mean, scale)
+    width = z.shape[1]
     draw = np.random.default_rng(7)
     a = np.concatenate([draw.choice(good, rivals * len(poor)), np.repeat(good, 2)])
     b = np.concatenate([np.repeat(poor, rivals), draw.choice(poor, 2 * len(good))])
@@ -136,15 +138,87 @@ def fit(texts, y: np.ndarray, rivals: int = RIVALS, rounds: int = 400, rate: flo
         g = -(d / (1 + np.exp(np.clip(d @ w, -40, 40)))[:, None]).mean(0) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    raw = z @ w
-    # the quantile of all fitted scores under which poor ones are best parted from good ones
-    levels = np.linspace(0.002, 0.998, 499)
-    cuts = np.quantile(raw, levels)
-    caught = np.searchsorted(np.sort(raw[poor]), cuts) / len(poor)
-    lost = np.searchsorted(np.sort(raw[good]), cuts) / len(good)
-    gain = caught - lost
+    return w
+
+
+def cut_of(raw: np.ndarray, good: np.ndarray, poor: np.ndarray) -> float:
+    """The quantile of all scores under which poor ones are best parted from good ones; good and poor count the rows at each of the ascending scores."""
+    both = np.cumsum(good + poor)
+    cuts = raw[np.searchsorted(both, np.linspace(0.002, 0.998, 499) * both[-1])]
+    below = np.searchsorted(raw, cuts)
+    gain = np.concatenate([[0], np.cumsum(poor)])[below] / poor.sum() - np.concatenate([[0], np.cumsum(good)])[below] / good.sum()
     best = np.flatnonzero(gain >= gain.max() - 1e-9)
-    return Ranker(mean, scale, w, float(cuts[best[len(best) // 2]]), 1.0)
+    return float(cuts[best[len(best) // 2]])
+
+
+def _unfitted(width: int) -> Ranker:
+    return Ranker(np.zeros(width), np.ones(width), np.zeros(width), -1.0, 1.0)
+
+
+def fit(texts, y: np.ndarray, **how) -> Ranker:
+    """The ranker of texts in one place, as one group."""
+    x = _features_of(texts)
+    if not (y == 1).any() or not (y == 0).any():
+        return _unfitted(x.shape[1])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    z = standard(x, mean, scale)
+    w = weights_of(z, y, **how)
+    raw, at = np.unique(z @ w, return_inverse=True)
+    return Ranker(mean, scale, w, cut_of(raw, np.bincount(at[y == 1], minlength=len(raw)), np.bincount(at[y == 0], minlength=len(raw))), 1.0)
+
+
+def _matrix(batch_column) -> np.ndarray:
+    n = len(batch_column)
+    return np.array([np.frombuffer(p.as_buffer(), np.float64) for p in batch_column]) if n else np.zeros((0, 1))
+
+
+def _featured(batches):
+    for batch in batches:
+        x = _features_of(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+
+
+def _moments(batches):
+    """One row of a task: (rows, good ones, sums, sums of squares)."""
+    n, good, total = 0, 0, None
+    for batch in batches:
+        if batch.num_rows:
+            x = _matrix(batch.column(2))
+            n, good, both = n + len(x), good + int(np.asarray(batch.column(1)).sum()), np.stack([x.sum(0), (x * x).sum(0)])
+            total = both if total is None else total + both
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([good], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "good", "sums"])
+
+
+def _group_weights(scales):
+    def run(table: pa.Table) -> pa.Table:
+        mean, scale = scales.value
+        table = table.sort_by("id")
+        y = table["y"].to_numpy().astype(np.int64)
+        fits = (y == 1).any() and (y == 0).any()
+        w = weights_of(standard(_matrix(table["x"].combine_chunks()), mean, scale), y) if fits else mean * 0
+        return pa.table({"n": pa.array([len(y) if fits else 0], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
+
+    return run
+
+
+#: steps of a score that the counts for the cut tell apart
+STEP = 1e-3
+
+
+def _counted(model):
+    """(score in steps, good, poor) of a task's rows."""
+
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            if batch.num_rows:
+                y = np.asarray(batch.column(1))
+                at, place = np.unique(np.round(m.raw(_matrix(batch.column(2))) / STEP).astype(np.int64), return_inverse=True)
+                count = [pa.array(np.bincount(place[y == k], minlength=len(at)), pa.int64()) for k in (1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(at), *count], names=["at", "good", "poor"])
+
+    return run
 
 
 def _score(model):
@@ -173,21 +247,39 @@ def _keep(model, column: int):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Ranker:
-    """The ranker of at most `most` labelled rows whose crc32(id as text) mod 5 is not 0."""
-    sample = training_sample(docs, labels, label, most, id_col, text_col).select("id", "text", "y").toArrow().sort_by("id")
-    return fit(sample["text"], sample["y"].to_numpy().astype(np.int64))
-
-
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", group: int = GROUP) -> Ranker:
+    """The ranker of all labelled rows whose crc32(id as text) mod 5 is not 0.
+
+    Their features are written once; sums, each group's weights and counts of scores by steps reach the driver."""
+    sc = docs.sparkSession.sparkContext
+    train = training_rows(docs, labels, label, id_col, text_col)
+    kind = train.schema["id"].dataType.simpleString()
+    rows = written(train.select("id", "text", "y").mapInArrow(_featured, f"id {kind}, y int, x binary"), "features")
+    sums = rows.mapInArrow(_moments, "n long, good long, sums binary").collect()
+    n, good = sum(r["n"] for r in sums), sum(r["good"] for r in sums)
+    if not 0 < good < n:
+        return _unfitted(features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1])
+    first, second = sum(np.frombuffer(r["sums"], np.float64).reshape(2, -1) for r in sums) / n
+    scale = np.maximum(np.sqrt(np.maximum(second - first**2, 0)), 1e-3)
+    groups = -(-n // group)
+    fits = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).groupBy("g").applyInArrow(_group_weights(sc.broadcast((first, scale))), "n long, w binary").collect()
+    each = sum(r["n"] for r in fits)
+    if not each:  # no group holds both kinds
+        return fitted(docs, labels, id_col, text_col, label, n)
+    w = sum(np.frombuffer(r["w"], np.float64) * r["n"] for r in fits) / each
+    counts = rows.mapInArrow(_counted(sc.broadcast(Ranker(first, scale, w, 0.0, 1.0))), "at long, good long, poor long").groupBy("at").agg(F.sum("good").alias("good"), F.sum("poor").alias("poor")).toArrow().sort_by("at")
+    return Ranker(first, scale, w, cut_of(counts["at"].to_numpy() * STEP, counts["good"].to_numpy(), counts["poor"].to_numpy()), 1.0)
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
     """(id, held_out, score, predicted) of each row of docs; predicted is 1 if score >= 0.3.
 
-    Fits on at most `most` labelled rows whose crc32(id as text) mod 5 is not 0.  Null and empty
+    Fits on all labelled rows whose crc32(id as text) mod 5 is not 0.  Null and empty
     texts are scored as texts without words.  With labels of one kind only, or none, all texts
     score alike, above the cut.  Repeated rows are scored each; a null id is scored and is not
     held out; other columns are not read.
     """
-    model = fitted(docs, labels, id_col, text_col, label, most)
+    model = fitted(docs, labels, id_col, text_col, label)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col, 0).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"id {kind}, held_out boolean, score double")

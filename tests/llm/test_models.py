@@ -257,3 +257,21 @@ def test_the_basis_is_fitted_on_all_blocks(spark):
     finally:
         decontam.randomised_svd = real
     assert seen[0][1] == 40_000
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    # 12,000 labelled rows, of which those with telling words are the last by hash
+    from pyspark.sql import functions as F
+
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit("!! ## $$ %% QQ !! ## $$ QQ")).otherwise(F.concat(F.lit("plain words of text number "), "id", F.lit(".")))
+                                      .alias("text"), F.when(F.col("id") % 4 == 0, 0).otherwise(1).alias("quality"))
+    seen = []
+    real, quality.cut_of = quality.cut_of, lambda raw, good, poor: seen.append((int(good.sum()), int(poor.sum()))) or real(raw, good, poor)
+    try:
+        model = quality.fitted(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+    finally:
+        quality.cut_of = real
+    left = [i for i in range(12_000) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [(sum(i % 4 > 0 for i in left), sum(i % 4 == 0 for i in left))] and len(left) > 9_000
+    x = quality._features_of(pa.array(["!! ## $$ %% QQ !! ## $$ QQ", "plain words of text number 7777."]))
+    assert model.score(x)[0] < quality.CUT <= model.score(x)[1]
