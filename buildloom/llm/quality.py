@@ -3,8 +3,10 @@
 Preference pairs are a labelled good document against a poor one; the logistic loss of the
 difference of their features fits one weight for each feature, hence a score for each document
 alone.  The cut is the quantile of the fitted documents' scores that best parts the labels, and
-scores are mapped so that it lies at `CUT`.  All labelled rows are fitted on: scales and the cut are
-those of all, and the weights are the mean of those of groups of about `GROUP` rows, fitted side by side.
+scores are mapped so that it lies at `CUT`.  Every labelled good row meets every labelled poor one:
+what a row adds to the slope depends on its own score and on how many rivals have which score, so
+each round of Newton's method sums rows up by steps of their score (`BIN`), and no pair is drawn or
+written out.  Scales, weights and the cut are those of all labelled rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from . import textvec as tv
 from .common import held_out, written
 from .labelled import training_rows
 
-GROUP, RIVALS, CUT = 8000, 12, 0.3
+CUT = 0.3
 #: bytes of text whose features are worked out at once; each takes some 30 times its size for a moment
 TEXT_BYTES = 1 << 18
 #: bytes at which a text's own shares weigh as much as the average ones
@@ -125,22 +127,102 @@ def _features_of(texts) -> np.ndarray:
     return np.concatenate([features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in tv.groups(offsets, TEXT_BYTES)])
 
 
-def weights_of(z: np.ndarray, y: np.ndarray, rivals: int = RIVALS, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
-    """Gradient descent (Adam) on the pairs' logistic loss over scaled features; each poor document meets `rivals` good ones and the reverse, drawn by a fixed seed."""
-    good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    width = z.shape[1]
-    draw = np.random.default_rng(7)
-    a = np.concatenate([draw.choice(good, rivals * len(poor)), np.repeat(good, 2)])
-    b = np.concatenate([np.repeat(poor, rivals), draw.choice(poor, 2 * len(good))])
-    d = z[a] - z[b]
-    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
-    for t in range(1, rounds + 1):
-        g = -(d / (1 + np.exp(np.clip(d @ w, -40, 40)))[:, None]).mean(0) + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+#: steps of a score by which rows meet their rivals (a row between two of them counts in both, by its place), and how many of them share one curvature
+BIN, WIDE = 1 / 64, 32
+#: features are summed up as whole numbers of this part, so that no order of rows changes a sum
+_UNIT = 1 << 13
+
+
+def _slot(width: int) -> int:
+    """Numbers of one kind of rows in one stretch of `WIDE` steps: (rows, sums of features) of each step, then those and the products of features of the stretch."""
+    return (WIDE + 1) * (1 + width) + width * width
+
+
+def _by_score(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of scores that the rows lie in, and the numbers of each (stretches x kinds x `_slot`), poor ones first."""
+    z = np.rint(z * _UNIT)
+    place = (z * w).sum(1) / (_UNIT * BIN)
+    step = np.floor(place).astype(np.int64)
+    upper, width = np.rint((place - step) * _UNIT), z.shape[1]
+    low = int(step.min()) // WIDE
+    out = np.zeros((int(step.max() + 1) // WIDE - low + 1, 2, _slot(width)), np.int64)
+    one, fine = np.column_stack([np.ones(len(z)), z]), WIDE * (1 + width)
+    for kind in (0, 1):
+        mine = np.flatnonzero(y == kind)
+        for at, share in ((step[mine], _UNIT - upper[mine]), (step[mine] + 1, upper[mine])):
+            total = np.stack([np.bincount(at - low * WIDE, weights=share * c, minlength=len(out) * WIDE) for c in one[mine].T], 1)
+            out[:, kind, :fine] += total.reshape(len(out), fine).astype(np.int64)
+        stretch = step[mine] // WIDE
+        order = np.argsort(stretch, kind="stable")
+        for rows in np.split(mine[order], np.flatnonzero(np.diff(stretch[order])) + 1) if len(mine) else []:
+            got = out[int(step[rows[0]]) // WIDE - low, kind, fine:]
+            got[: 1 + width] += one[rows].sum(0).astype(np.int64)
+            got[1 + width :] += (z[rows].T @ z[rows]).ravel().astype(np.int64)
+    some = np.flatnonzero(out.any((1, 2)))
+    return some + low, out[some]
+
+
+def _met(at: np.ndarray, rivals: np.ndarray, count: np.ndarray, kernel) -> np.ndarray:
+    """For each place the sum over its rivals' places of count times kernel(rival's place less its own)."""
+    return np.concatenate([kernel(rivals[None, :] - at[lo : lo + 256, None]) @ count for lo in range(0, len(at), 256)])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def _bend(x: np.ndarray) -> np.ndarray:
+    p = _sigmoid(x)
+    return p * (1 - p)
+
+
+def _slope(at: np.ndarray, sums: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean logistic loss of all pairs, and its curvature by stretches, from what _by_score gives."""
+    cut = WIDE * (1 + width)
+    step = (at[:, None] * WIDE + np.arange(WIDE)).ravel() * BIN
+    fine = sums[:, :, :cut].reshape(len(at), 2, WIDE, 1 + width).transpose(1, 0, 2, 3).reshape(2, -1, 1 + width) / _UNIT
+    some = [np.flatnonzero(f[:, 0]) for f in fine]
+    (poor, good), (p, g) = ([fine[k][some[k]] for k in (0, 1)], [step[some[k]] for k in (0, 1)])
+    pairs = good[:, 0].sum() * poor[:, 0].sum()
+    slope = _met(p, g, good[:, 0], lambda x: _sigmoid(-x)) @ poor[:, 1:] - _met(g, p, poor[:, 0], _sigmoid) @ good[:, 1:]
+    whole = sums[:, :, cut : cut + 1 + width].astype(float)
+    square = sums[:, :, cut + 1 + width :].reshape(len(at), 2, width, width).astype(float)
+    bend = _bend((at[:, None] - at[None, :]) * (WIDE * BIN))
+    across = whole[:, 1, 1:].T @ bend @ whole[:, 0, 1:]
+    curve = np.tensordot(bend @ whole[:, 0, 0], square[:, 1], 1) + np.tensordot(bend @ whole[:, 1, 0], square[:, 0], 1) - across - across.T
+    return slope / (_UNIT * pairs), curve / (float(_UNIT) ** 2 * pairs)
+
+
+def minimised(look, width: int, decay: float = 1e-3, rounds: int = 100) -> np.ndarray:
+    """The weights of least mean loss over all pairs plus 0.5 * decay * |w|^2, by Newton's method; look(w) is _by_score of all rows.
+
+    The stretches' curvature is near the true one, so that a step is halved until the slope, measured by it, falls."""
+
+    def at(w):
+        slope, curve = _slope(*look(w), width)
+        return slope + decay * w, curve + decay * np.eye(width)
+
+    w = np.zeros(width)
+    slope, curve = at(w)
+    while rounds > 0 and (left := slope @ np.linalg.solve(curve, slope)) > 1e-9:
+        go, t = np.linalg.solve(curve, slope), 1.0
+        while rounds > 0:
+            rounds -= 1
+            new, bent = at(w - t * go)
+            if new @ np.linalg.solve(curve, new) < (1 - 0.2 * t) * left:
+                break
+            t /= 2
+        else:
+            break
+        w, slope, curve = w - t * go, new, bent
     return w
 
 
+def weights_of(z: np.ndarray, y: np.ndarray, **how) -> np.ndarray:
+    """The weights of least loss over all pairs of the scaled features' rows."""
+    return minimised(lambda w: _by_score(z, y, w), z.shape[1], **how)
+
+
 def cut_of(raw: np.ndarray, good: np.ndarray, poor: np.ndarray) -> float:
     """The quantile of all scores under which poor ones are best parted from good ones; good and poor count the rows at each of the ascending scores."""
     both = np.cumsum(good + poor)
@@ -156,7 +238,7 @@ def _unfitted(width: int) -> Ranker:
 
 
 def fit(texts, y: np.ndarray, **how) -> Ranker:
-    """The ranker of texts in one place, as one group."""
+    """The ranker of texts in one place."""
     x = _features_of(texts)
     if not (y == 1).any() or not (y == 0).any():
         return _unfitted(x.shape[1])
@@ -190,14 +272,33 @@ def _moments(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([good], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "good", "sums"])
 
 
-def _group_weights(scales):
-    def run(table: pa.Table) -> pa.Table:
-        mean, scale = scales.value
-        table = table.sort_by("id")
-        y = table["y"].to_numpy().astype(np.int64)
-        fits = (y == 1).any() and (y == 0).any()
-        w = weights_of(standard(_matrix(table["x"].combine_chunks()), mean, scale), y) if fits else mean * 0
-        return pa.table({"n": pa.array([len(y) if fits else 0], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
+#: rows that a task sums up at once
+_AT_ONCE = 1 << 14
+
+
+def _sums(scales, weights):
+    """(stretch, slot, n): a task's rows as _by_score sums them up, numbers other than 0."""
+
+    def run(batches):
+        (mean, scale), w = scales.value, weights.value
+        total, held = {}, []
+
+        def add():
+            x, y = (np.concatenate(c) for c in zip(*held))
+            for at, sums in zip(*_by_score(standard(x, mean, scale), y, w)):
+                total[int(at)] = total.get(int(at), 0) + sums.ravel()
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((_matrix(batch.column(2)), np.asarray(batch.column(1))))
+                if sum(len(y) for _, y in held) >= _AT_ONCE:
+                    add()
+        if held:
+            add()
+        for at, sums in total.items():
+            slot = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), at)), pa.array(slot), pa.array(sums[slot])], names=["stretch", "slot", "n"])
 
     return run
 
@@ -247,10 +348,10 @@ def _keep(model, column: int):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", group: int = GROUP) -> Ranker:
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Ranker:
     """The ranker of all labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    Their features are written once; sums, each group's weights and counts of scores by steps reach the driver."""
+    Their features are written once and read in each round; sums and counts by steps of scores reach the driver."""
     sc = docs.sparkSession.sparkContext
     train = training_rows(docs, labels, label, id_col, text_col)
     kind = train.schema["id"].dataType.simpleString()
@@ -261,12 +362,16 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return _unfitted(features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1])
     first, second = sum(np.frombuffer(r["sums"], np.float64).reshape(2, -1) for r in sums) / n
     scale = np.maximum(np.sqrt(np.maximum(second - first**2, 0)), 1e-3)
-    groups = -(-n // group)
-    fits = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).groupBy("g").applyInArrow(_group_weights(sc.broadcast((first, scale))), "n long, w binary").collect()
-    each = sum(r["n"] for r in fits)
-    if not each:  # no group holds both kinds
-        return fitted(docs, labels, id_col, text_col, label, n)
-    w = sum(np.frombuffer(r["w"], np.float64) * r["n"] for r in fits) / each
+    scales, slots = sc.broadcast((first, scale)), 2 * _slot(len(first))
+
+    def look(w):
+        got = rows.mapInArrow(_sums(scales, sc.broadcast(w)), "stretch long, slot long, n long").groupBy("stretch", "slot").agg(F.sum("n").alias("n")).toArrow()
+        at, place = np.unique(got["stretch"].to_numpy(), return_inverse=True)
+        out = np.zeros((len(at), slots), np.int64)
+        out[place, got["slot"].to_numpy()] = got["n"].to_numpy()
+        return at, out.reshape(len(at), 2, -1)
+
+    w = minimised(look, len(first))
     counts = rows.mapInArrow(_counted(sc.broadcast(Ranker(first, scale, w, 0.0, 1.0))), "at long, good long, poor long").groupBy("at").agg(F.sum("good").alias("good"), F.sum("poor").alias("poor")).toArrow().sort_by("at")
     return Ranker(first, scale, w, cut_of(counts["at"].to_numpy() * STEP, counts["good"].to_numpy(), counts["poor"].to_numpy()), 1.0)
 

@@ -275,3 +275,25 @@ def test_quality_is_fitted_on_all_labelled_rows(spark):
     assert seen == [(sum(i % 4 > 0 for i in left), sum(i % 4 == 0 for i in left))] and len(left) > 9_000
     x = quality._features_of(pa.array(["!! ## $$ %% QQ !! ## $$ QQ", "plain words of text number 7777."]))
     assert model.score(x)[0] < quality.CUT <= model.score(x)[1]
+
+
+def test_quality_weights_are_those_of_all_pairs_of_all_labelled_rows(spark):
+    # kinds that overlap, so that the weights depend on which pairs are met
+    draw = random.Random(11)
+    rows = []
+    for i in range(2_500):
+        good = draw.random() < 0.8
+        words = [draw.choice(["plain", "words", "Said", "well,", "today.", "12"]) if draw.random() < (0.7 if good else 0.5) else draw.choice(["BUY!!", "@@@", "now!", "x1", "$$"]) for _ in range(draw.randrange(3, 40))]
+        rows.append((i, " ".join(words), int(good)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model, again = (quality.fitted(f.select("doc_id", "text"), f.select("doc_id", "quality")) for f in (frame, frame.orderBy("text").repartition(7)))
+    left = [r for r in rows if not held(r[0])]
+    x = quality._features_of(pa.array([t for _, t, _ in left]))
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3))
+    z, y = quality.standard(x, model.mean, model.scale), np.array([q for _, _, q in left])
+    good, poor = z[y == 1], z[y == 0]
+    lost = 1 / (1 + np.exp((good @ model.weights)[:, None] - (poor @ model.weights)[None, :]))  # for each pair, how much it pulls
+    assert lost.mean() > 0.01
+    slope = (lost.sum(0) @ poor - lost.sum(1) @ good) / lost.size + 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-4
+    assert np.allclose(model.weights, again.weights, atol=1e-6)
