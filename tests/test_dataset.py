@@ -3,6 +3,7 @@
 import xml.etree.ElementTree as ET
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,49 @@ def test_equal_rows_count_as_often_as_they_are_there(spark):
     a = {k: {r.who: r.group_id for r in rows if r.clusters == k} for k in (2, 3)}
     few = kinds[np.arange(3_000) % 200].astype(float)
     assert next(r.silhouette for r in rows if r.clusters == 2) == pytest.approx(cl.silhouette(few, np.array([a[2][i] for i in range(3_000)])), abs=5e-3)
+
+
+def test_hierarchy_holds_no_matrix_of_distances(spark):
+    from pathlib import Path
+
+    from buildloom.functions.storage import shared_dir
+
+    draw = np.random.default_rng(6)
+    middle = draw.random((10, 8)) ** 4 * 60
+    x = np.unique(draw.poisson(middle[draw.integers(0, 10, 4_000)]).astype(float), axis=0)
+    x = draw.permutation(x[x.sum(1) > 0])[:3_300]
+    assert len(x) == 3_300  # more than one task's work
+    size = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    who, what = np.nonzero(x)
+    long = spark.createDataFrame(pd.DataFrame({"who": who, "what": what, "n": x[who, what]}))
+    before = size()
+    got = {(r.who, r.clusters): r.group_id for r in cl.hierarchy(long, "who", "what", "n", (3, 5, 10)).collect()}
+    assert size() - before < len(x) ** 2
+    for k, label in cl.ward(cl.divergence(x), [3, 5, 10]).items():
+        assert [got[i, k] for i in range(len(x))] == label.tolist()
+
+
+def test_tree_in_rounds_matches_the_plain_way(spark):
+    from buildloom.sources.views import ship
+
+    ship(spark)
+    draw = np.random.default_rng(1)
+    x, weight = draw.integers(0, 6, (150, 6)).astype(float), draw.integers(1, 5, 150).astype(float)
+    x[[3, 50, 51]], weight[[3, 50, 51]] = 0, 1  # 1 from all others
+    want = cl.merges(cl.divergence(x), weight)
+    got = cl.tree_in_rounds(spark, x, weight, few=9)
+    assert sorted(m[2] for m in got) == pytest.approx(sorted(m[2] for m in want), abs=1e-3)
+    for k, label in cl._cut(want, 150, [2, 5, 12]).items():
+        assert cl._cut(got, 150, [k])[k].tolist() == label.tolist()
+    # all equally far: whichever pairs are joined, every row is in the tree
+    got = cl.tree_in_rounds(spark, np.eye(60), np.ones(60), few=1)
+    assert len(got) == 59 and cl._cut(got, 60, [1])[1].tolist() == [1] * 60
+
+
+def test_a_cut_may_fall_among_equal_rows(spark):
+    long = spark.createDataFrame([(f"r{i}", i % 2, 3.0) for i in range(6)] + [("none", 0, 0.0), ("nil", 1, 0.0)], "who string, what int, n double")
+    rows = cl.hierarchy(long, "who", "what", "n", (2, 4, 7, 9)).collect()
+    kinds = {k: len({r.group_id for r in rows if r.clusters == k}) for k in (2, 4, 7)}
+    assert kinds == {2: 2, 4: 4, 7: 7} and len(rows) == 24
+    at4 = {r.who: r.group_id for r in rows if r.clusters == 4}
+    assert len({at4[f"r{i}"] for i in (0, 2, 4)}) == len({at4[f"r{i}"] for i in (1, 3, 5)}) == 1 and at4["none"] != at4["nil"]
