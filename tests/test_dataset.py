@@ -236,3 +236,20 @@ def test_a_cut_may_fall_among_equal_rows(spark):
     assert kinds == {2: 2, 4: 4, 7: 7} and len(rows) == 24
     at4 = {r.who: r.group_id for r in rows if r.clusters == 4}
     assert len({at4[f"r{i}"] for i in (0, 2, 4)}) == len({at4[f"r{i}"] for i in (1, 3, 5)}) == 1 and at4["none"] != at4["nil"]
+
+
+def test_only_different_rows_are_held(spark, monkeypatch):
+    monkeypatch.setattr(cl, "CELLS", 100)
+    kinds = [[9, 1, 0], [0, 7, 2], [3, 0, 8], [5, 5, 0], [1, 1, 1]]
+    long = spark.range(600).withColumnRenamed("id", "who").select("who", F.posexplode(F.element_at(F.array(*(F.array(*map(F.lit, r)) for r in kinds)), (F.col("who") % 5 + 1).cast("int"))).alias("what", "n"))
+    rows = cl.factor_groups(long, "who", "what", "n", 2, 3).collect()
+    x = np.array(kinds, float)[np.arange(600) % 5]
+    for k in (2, 3):
+        of = {r.who: r for r in rows if r.clusters == k}
+        w, h = cl.factorise(np.array(kinds, float), k, weight=np.full(5, 120))
+        label = np.array([of[i].group_id for i in range(600)])
+        assert label.tolist() == w.argmax(1)[np.arange(600) % 5].tolist()
+        assert of[0].silhouette == pytest.approx(cl.silhouette(x, label), abs=1e-6) and of[0].error == pytest.approx(np.sqrt(120) * np.linalg.norm(x[:5] - w @ h))
+    assert len(rows) == 1200 and len({r.clusters for r in rows if r.best}) == 1
+    with pytest.raises(ValueError, match="600 x 3"):
+        cl.factor_groups(long.withColumn("n", F.col("n") + F.col("who") * (F.col("what") + 1)), "who", "what", "n", 2, 3)
